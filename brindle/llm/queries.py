@@ -1,8 +1,40 @@
 """Queries of the text problems and their SQL, by name."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from brindle.llm import codepoints, nearwords, splits
+from brindle.session import table
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return splits.split_overlaps(table(spark, root, "candidate_pairs")).toDF("message_id_1", "message_id_2")
+
+
+def p2_report(spark: SparkSession, root: str) -> DataFrame:
+    return splits.overlap_report(table(spark, root, "candidate_pairs"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return nearwords.near_duplicates(table(spark, root, "messages"), "id", "text").toDF("message_id_1", "message_id_2")
+
+
+def p3_groups(spark: SparkSession, root: str) -> DataFrame:
+    return nearwords.near_duplicate_groups(table(spark, root, "messages"), "id", "text").toDF("message_id", "group_id", "links")
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    named = lambda t, key, column: codepoints.suspicious_rows(table(spark, root, t), key, column).select(F.lit(t).alias("table_name"), F.col("key").cast("string").alias("row_key"))
+    return named("messages", "id", "text").union(named("companies", "company_id", "aliases"))
+
+
+def p7_text(spark: SparkSession, root: str) -> DataFrame:
+    return codepoints.normalise_text(table(spark, root, "messages"), "id", "text").toDF("message_id", "text", "found")
+
 
 def queries():
-    return {}
+    return {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p7_found, p7_text)}
 
 
 def oracle_sql():
