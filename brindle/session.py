@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """`df` marked for broadcast where it has no more than `rows` rows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def default_session(cpus: str = "*", **conf) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("brindle")
     settings = {
