@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import codepoints, nearwords, splits
+from brindle.llm import canonical, codepoints, nearwords, splits
 from brindle.session import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return canonical.map_to_canonical(table(spark, root, "upstream_candidates"), table(spark, root, "binance_tradfi_instruments")).toDF("candidate_id", "canonical_code")
+
+
+def p1_unmatched(spark: SparkSession, root: str) -> DataFrame:
+    return canonical.unmatched_values(table(spark, root, "upstream_candidates"), table(spark, root, "binance_tradfi_instruments"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return splits.split_overlaps(table(spark, root, "candidate_pairs")).toDF("message_id_1", "message_id_2")
 
@@ -34,7 +42,7 @@ def p7_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p7_found, p7_text)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_report, p3_found, p3_groups, p7_found, p7_text)}
 
 
 def oracle_sql():
