@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import canonical, codepoints, nearwords, splits
+from brindle.llm import canonical, codepoints, nearwords, privacy, splits
 from brindle.session import table
 
 
@@ -32,6 +32,14 @@ def p3_groups(spark: SparkSession, root: str) -> DataFrame:
     return nearwords.near_duplicate_groups(table(spark, root, "messages"), "id", "text").toDF("message_id", "group_id", "links")
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return privacy.find_items(table(spark, root, "messages"), "id", "text").toDF("message_id", "pii_type", "pii_key")
+
+
+def p4_text(spark: SparkSession, root: str) -> DataFrame:
+    return privacy.pseudonymise(table(spark, root, "messages"), "id", "text", secret="a secret of the owner of the data").toDF("message_id", "text")
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     named = lambda t, key, column: codepoints.suspicious_rows(table(spark, root, t), key, column).select(F.lit(t).alias("table_name"), F.col("key").cast("string").alias("row_key"))
     return named("messages", "id", "text").union(named("companies", "company_id", "aliases"))
@@ -42,7 +50,7 @@ def p7_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_report, p3_found, p3_groups, p7_found, p7_text)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_text, p7_found, p7_text)}
 
 
 def oracle_sql():
