@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import canonical, codepoints, nearwords, privacy, splits
+from brindle.llm import bpe, canonical, codepoints, nearwords, privacy, splits
 from brindle.session import table
 
 
@@ -49,8 +49,19 @@ def p7_text(spark: SparkSession, root: str) -> DataFrame:
     return codepoints.normalise_text(table(spark, root, "messages"), "id", "text").toDF("message_id", "text", "found")
 
 
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.encode(table(spark, root, "documents"), "doc_id", "text").toDF("doc_id", "ids")
+
+
+def p8_volume(spark: SparkSession, root: str) -> DataFrame:
+    """Documents, tokens and characters by language and source."""
+    docs = table(spark, root, "documents")
+    tokens = bpe.encode(docs, "doc_id", "text").select(F.col("key").alias("doc_id"), F.size("ids").alias("tokens"))
+    return docs.select("doc_id", "lang", "source", "n_chars").join(tokens, "doc_id").groupBy("lang", "source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.sum("n_chars").alias("characters"))
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_text, p7_found, p7_text)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_text, p7_found, p7_text, p8_ids, p8_volume)}
 
 
 def oracle_sql():
