@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.llm import codepoints as C
-from brindle.session import bounded
+from brindle.session import bounded, checkpoint
 
 UNMATCHED, SIMILARITY, BROADCAST_ROWS = "UNMATCHED", 1 / 3, 200_000
 # Legal forms and share classes; texts that stand for no instrument; exchanges meant by a prefix or suffix.
@@ -133,7 +133,7 @@ def _by_name(typed: DataFrame, ref: DataFrame) -> DataFrame:
     line_of = lambda w: F.get(F.filter(known, lambda s: (s == w) | ((F.length(w) >= 3) & F.rlike(s, F.concat(F.lit("^"), F.regexp_replace(w, "(.)", "$1.*"), F.lit("$"))))), F.lit(0))
     cn = F.regexp_replace(F.array_join(F.regexp_extract_all("name_form", F.lit("([一-鿿]+)"), 1), ""), rf"({LEGAL_CN})+$", "")
     t = typed.select("code", "name", words.alias("words"), cn.alias("cn")).withColumn("line_words", F.filter(F.transform("words", line_of), lambda x: x.isNotNull()))
-    t = t.withColumn("mentions", F.filter("words", lambda w: line_of(w).isNull() & (F.length(w) >= 3)))
+    t = checkpoint(t.withColumn("mentions", F.filter("words", lambda w: line_of(w).isNull() & (F.length(w) >= 3))))
     # lines of business by the end of a Chinese name, from entries that have both names
     cn_lines = dict(sorted({(r["e"], r["line"]) for r in ref.where("name_cn is not null and line <> ''").select(F.substring("name_cn", 3, 9).alias("e"), "line").distinct().collect() if r["e"]}))
     cn_line = F.coalesce(*[F.when(F.col("cn").endswith(e), F.lit(x)) for e, x in sorted(cn_lines.items(), key=lambda p: -len(p[0]))], F.lit(None).cast("string")) if cn_lines else F.lit(None).cast("string")
@@ -141,7 +141,7 @@ def _by_name(typed: DataFrame, ref: DataFrame) -> DataFrame:
     small = bounded(ref.select("canonical_code", "ticker", "first", "line", "name_cn"), BROADCAST_ROWS)
     whole = t.where("cn <> ''").join(small, F.col("cn") == F.col("name_cn")).select("code", "name", "canonical_code", "ticker", F.lit(3).alias("level"), F.lit(1.0).alias("jaccard"))
     mention = t.select("code", "name", "line_words", F.size("mentions").alias("said"), F.explode("mentions").alias("word"))
-    alike = similar_words(mention, ref.where("length(first) >= 3")).where(_one_edit(F.col("word"), F.col("first")))
+    alike = checkpoint(similar_words(mention, ref.where("length(first) >= 3")).where(_one_edit(F.col("word"), F.col("first"))))
     hit = mention.join(bounded(alike, BROADCAST_ROWS), "word").join(small, "first")
     same = F.size(F.array_intersect("line_words", F.split("line", " "))) > 0
     level = F.when(same, 3).when((F.size("line_words") == 0) & (F.col("said") == 1), 2)  # any other word is a line of business that no entry has
@@ -150,10 +150,10 @@ def _by_name(typed: DataFrame, ref: DataFrame) -> DataFrame:
 
 def map_to_canonical(rows: DataFrame, instruments: DataFrame, key: str = "id", code: str = "stocker_code", name: str = "stocker_name") -> DataFrame:
     """(key, canonical_code or UNMATCHED) of every row whose code, as it stands, is not in the list."""
-    ref = _reference(instruments).cache()
+    ref = checkpoint(_reference(instruments))
     flat = rows.select(F.col(key).alias("key"), F.col(code).alias("raw"), F.coalesce(F.col(code), F.lit("")).alias("code"), F.coalesce(F.col(name), F.lit("")).alias("name"))
     cases = flat.join(bounded(ref.select(F.col("canonical_code").alias("raw")), BROADCAST_ROWS), "raw", "left_anti").drop("raw")
-    typed = _parsed_codes(_clean(cases.select("code", "name").distinct()))
+    typed = checkpoint(_parsed_codes(_clean(cases.select("code", "name").distinct())))  # read several times
     codes = _by_code(typed, ref)
     near = F.translate(F.coalesce("t.ticker", F.lit("")), "01", "OI")
     names = _by_name(typed, ref).alias("n").join(typed.select("code", "name", "ticker").alias("t"), ["code", "name"])
