@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import bpe, canonical, codepoints, nearwords, privacy, shapes, splits
+from brindle.llm import bpe, canonical, codepoints, leakage, nearwords, privacy, shapes, splits
 from brindle.session import table
 
 
@@ -60,6 +60,14 @@ def p8_volume(spark: SparkSession, root: str) -> DataFrame:
     return docs.select("doc_id", "lang", "source", "n_chars").join(tokens, "doc_id").groupBy("lang", "source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.sum("n_chars").alias("characters"))
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p9_report(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leak_report(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return shapes.stuffed_pages(table(spark, root, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"))
 
@@ -69,7 +77,7 @@ def p10_shapes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_text, p7_found, p7_text, p8_ids, p8_volume, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_text, p7_found, p7_text, p8_ids, p8_volume, p9_found, p9_report, p10_found, p10_shapes)}
 
 
 def oracle_sql():
