@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import records
+from brindle.plans import mentions, records
 
-FLAGSHIP = "p5_found"
-_PARTS = [records]
+FLAGSHIP = "identify_matches"
+_PARTS = [mentions, records]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -48,6 +48,7 @@ def default_session(cpus: str = "*", **conf) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "12g"),
     } | conf
