@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from brindle.session import checkpoint
+
 
 def first_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key; of a hot key only one row of each partition is shuffled."""
@@ -41,27 +43,35 @@ def save_once(incoming: DataFrame, path: str, key: str, *order: str) -> int:
     return n
 
 
-def running_split(units: DataFrame, weight: str, order: list[str], shares: list[tuple[str, float]], last: str) -> DataFrame:
-    """`split` by the running share of weight up to and with each unit: the first name whose share it doesn't exceed, else `last`.
+def running_sums(units: DataFrame, weights: list[str], order: list[str]) -> tuple[DataFrame, dict[str, float]]:
+    """`units` with running_<weight> up to and with each row in `order` (columns, or "-column" for descending), and the totals.
 
-    Exact and distributed: units are ranged by their order, partition totals are summed on the driver (one number a
-    partition) and added to each partition's own running sum.
+    Exact and distributed: rows are ranged by their order, partition totals are summed on the driver (one row a partition)
+    and added to each partition's own running sums. No window spans the whole input.
     """
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = units.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-    from brindle.session import checkpoint
-
-    parted = checkpoint(parted)
-    totals = {r["_p"]: r["w"] for r in parted.groupBy("_p").agg(F.sum(weight).alias("w")).collect()}
-    before, run = {}, 0
-    for p in sorted(totals):
-        before[p] = run
-        run += totals[p]
-    start = F.create_map(*(F.lit(x) for p, b in before.items() for x in (p, b)))[F.col("_p")] if before else F.lit(0)
-    w = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = parted.withColumn("running", F.sum(weight).over(w) + start)
-    share = F.col("running") / F.lit(float(run or 1))
+    keys = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    parted = checkpoint(units.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()))
+    totals = {r["_p"]: r for r in parted.groupBy("_p").agg(*(F.sum(w).alias(w) for w in weights)).collect()}
+    w_ = W.partitionBy("_p").orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = {}
+    out = parted
+    for w in weights:
+        before, run = {}, 0
+        for p in sorted(totals):
+            before[p] = run
+            run += totals[p][w] or 0
+        start = F.create_map(*(F.lit(x) for p, b in before.items() for x in (p, b)))[F.col("_p")] if before else F.lit(0)
+        out = out.withColumn(f"running_{w}", F.sum(w).over(w_) + start)
+        sums[w] = run
+    return out.drop("_p"), sums
+
+
+def running_split(units: DataFrame, weight: str, order: list[str], shares: list[tuple[str, float]], last: str) -> DataFrame:
+    """`split` by the running share of weight up to and with each unit: the first name whose share it doesn't exceed, else `last`."""
+    out, totals = running_sums(units, [weight], order)
+    share = F.col(f"running_{weight}") / F.lit(float(totals[weight] or 1))
     name = F.lit(last)
     for label, limit in reversed(shares):
         name = F.when(share <= limit, label).otherwise(name)
-    return out.withColumn("split", name).drop("_p")
+    return out.withColumn("split", name).withColumnRenamed(f"running_{weight}", "running")
