@@ -35,16 +35,18 @@ def structured(pairs: DataFrame) -> DataFrame:
 def word_grams(text: Column) -> Column:
     """Words and pairs of neighbouring words, lower case; an ideograph is a word."""
     w = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 1)
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, pairs)
+    zipped = F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))).alias("b"))  # no outer column inside the lambdas
+    return F.concat(w, F.transform(F.filter(zipped, lambda x: x["b"].isNotNull()), lambda x: F.concat_ws(" ", x["a"], x["b"])))
 
 
 def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Substrings of `low` to `high` characters, case kept."""
-    n = F.length(text)
+    signs = F.split(text, "")
+    names = "abcdefghijklmnop"[:high]
+    zipped = F.arrays_zip(*(F.slice(signs, F.lit(i + 1), F.greatest(F.length(text), F.lit(1))).alias(c) for i, c in enumerate(names)))
 
     def of(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.filter(zipped, lambda x: x[names[k - 1]].isNotNull()), lambda x: F.concat(*(x[c] for c in names[:k])))
 
     return F.concat(*(of(k) for k in range(low, high + 1)))
 

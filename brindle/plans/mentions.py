@@ -145,10 +145,11 @@ terms as (select canonical_code, unnest(aliases) keyword, 'alias' kind, 0.98 con
  union all select canonical_code, unnest(negative_contexts), 'negative', null, 2000 + generate_subscripts(negative_contexts, 1) - 1 from registry
  union all select canonical_code, ticker, 'ticker', 0.99, 3000 from registry)"""
 _HITS = f"""{_TERMS},
-texts as (select id message_id, regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288)), 'https?://[^ \\t\\n\\r]+', ' ', 'g') text from messages where trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288)) <> ''),
-escaped as (select *, regexp_replace(keyword, '([!-/:-@\\[-`{{-~])', '\\\\\\1', 'g') e from terms where keyword <> ''),
-hits as (select t.message_id, e.* from texts t, escaped e where case when e.kind = 'ticker' then contains(t.text, e.keyword) and regexp_matches(t.text, case when length(e.keyword) > 1 then '(^|[^A-Za-z0-9])' else '(^|[^A-Za-z0-9])\\$' end || e.e || '([^A-Za-z0-9]|$)')
- when regexp_matches(e.keyword, '[一-鿿]') then contains(lower(t.text), lower(e.keyword)) else contains(lower(t.text), lower(e.keyword)) and regexp_matches(t.text, '(?i)(^|[^A-Za-z0-9])' || e.e || '([^A-Za-z0-9]|$)') end)"""
+raw_texts as (select id message_id, regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288)), 'https?://[^ \\t\\n\\r]+', ' ', 'g') text from messages where trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288)) <> ''),
+texts as materialized (select *, lower(text) low from raw_texts),
+escaped as materialized (select *, lower(keyword) small, regexp_matches(keyword, '[一-鿿]') cjk, regexp_replace(keyword, '([!-/:-@\\[-`{{-~])', '\\\\\\1', 'g') e from terms where keyword <> ''),
+met as materialized (select t.message_id, t.text, e.* from texts t join escaped e on contains(t.low, e.small)),
+hits as (select * exclude (text, small, cjk, e) from met where case when cjk then true when kind = 'ticker' then regexp_matches(text, case when length(keyword) > 1 then '(^|[^A-Za-z0-9])' else '(^|[^A-Za-z0-9])\\$' end || e || '([^A-Za-z0-9]|$)') else regexp_matches(text, '(?i)(^|[^A-Za-z0-9])' || e || '([^A-Za-z0-9]|$)') end)"""
 _MATCHES = f"""{_HITS},
 kept as (select * from hits h where kind <> 'negative' and not exists (select 1 from hits n where n.kind = 'negative' and n.message_id = h.message_id and n.canonical_code = h.canonical_code)),
 matches as (select message_id, canonical_code, keyword mention, kind match_type, confidence::double confidence from (select *, row_number() over (partition by message_id, canonical_code order by confidence desc, length(keyword) desc, term_ord) rn from kept) where rn = 1)"""

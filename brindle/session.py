@@ -31,10 +31,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """Round-robin or hashed repartition to the session's shuffle width, for inputs of few row groups."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+def widened(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than that; a large input is left as it is scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
