@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from brindle.session import widened
+
 VOCABULARY_BYTES, KEPT_WORDS = 16 << 20, 200_000
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the pre-splitting pattern of the vocabulary.
@@ -189,7 +191,7 @@ def encode(df: DataFrame, key: str, column: str, path: str = DEFAULT_PATH) -> Da
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(itertools.chain.from_iterable(lists)), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("key"), ids], names=["key", "ids"])
 
-    return flat.mapInArrow(run, f"key {kind}, ids array<int>")
+    return widened(flat).mapInArrow(run, f"key {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, key: str, column: str, path: str = DEFAULT_PATH) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm import codepoints as C
 from brindle.llm.nearwords import words
-from brindle.session import checkpoint
+from brindle.session import checkpoint, widened
 
 FEATURES, RANK, WINDOW, STEP, ITEM_STEP, PASSAGE = 8192, 128, 14, 7, 2, 28
 COSINE, NEAR, MIN_WORDS, MIN_HAN, REPLACED, ITEMS = 0.7, 11, 28, 38, 0.1, 20_000
@@ -164,6 +164,7 @@ def contains(item: np.ndarray, weight: np.ndarray, need: int, around: np.ndarray
 def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", column: str = "text") -> DataFrame:
     """(doc_id, item_id) of each document and item of which it contains the whole or a long passage."""
     corpus = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).where("text is not null")
+    corpus = widened(corpus)
     held = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(column).cast("string").alias("text")).where("text is not null").limit(ITEMS + 1).toPandas()
     if len(held) > ITEMS:
         raise ValueError(f"more than {ITEMS} held-out items: search them in blocks of as many")

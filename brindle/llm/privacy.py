@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm import codepoints as C
+from brindle.session import widened
 
 TYPES = ("email", "street_address", "id_number", "phone", "person_name")
 
@@ -240,7 +241,7 @@ def find_items(df: DataFrame, key: str, column: str) -> DataFrame:
                     keys.append(k)
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(types, pa.string()), pa.array(keys, pa.string())], names=["key", "pii_type", "pii_key"])
 
-    return flat.mapInArrow(run, f"key {kind}, pii_type string, pii_key string")
+    return widened(flat).mapInArrow(run, f"key {kind}, pii_type string, pii_key string")
 
 
 def pseudonymise(df: DataFrame, key: str, column: str, secret: str, mode: str = "surrogate") -> DataFrame:

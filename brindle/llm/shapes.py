@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from brindle.session import widened
+
 SHARE, UNITS, FEW, DOMINANT = 0.7, 8, 6, 0.6
 
 # Words that sentences of English, German and Spanish can hardly do without, and characters of Chinese ones.
@@ -165,7 +167,7 @@ def stuffed_pages(df: DataFrame, key: str, column: str) -> DataFrame:
             at = [i for i, v in enumerate(verdicts) if v[0]]
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array([verdicts[i][1] for i in at], pa.float64()), pa.array([verdicts[i][2] for i in at], pa.string())], names=["key", "share", "shape"])
 
-    return flat.mapInArrow(run, f"key {kind}, share double, shape string")
+    return widened(flat).mapInArrow(run, f"key {kind}, share double, shape string")
 
 
 def shape_groups(df: DataFrame, column: str) -> DataFrame:
