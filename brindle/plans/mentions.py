@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from brindle.functions import text as T
 from brindle.operators import matching as M, registry as R
-from brindle.session import table
+from brindle.session import checkpoint, table
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
     return R.load_registry(table(spark, root, "companies"), table(spark, root, "binance_tradfi_instruments"))
 
 
+def _terms(spark: SparkSession, root: str) -> DataFrame:
+    """The terms as a table: they are counted before they are broadcast."""
+    return checkpoint(R.terms(registry(spark, root)))
+
+
 def _texts(spark: SparkSession, root: str) -> DataFrame:
     return M.prepared(table(spark, root, "messages"))
 
 
 def matches(spark: SparkSession, root: str) -> DataFrame:
-    return M.identify(table(spark, root, "messages"), R.terms(registry(spark, root)))
+    return M.identify(table(spark, root, "messages"), _terms(spark, root))
 
 
 def registry_load(spark, root):
@@ -87,15 +92,15 @@ def upsert_securities(spark, root):
 
 
 def keyword_hits(spark, root):
-    return M.term_hits(_texts(spark, root), R.terms(registry(spark, root)).where("kind <> 'ticker'")).select("message_id", "canonical_code", "keyword", "kind")
+    return M.term_hits(_texts(spark, root), _terms(spark, root).where("kind <> 'ticker'")).select("message_id", "canonical_code", "keyword", "kind")
 
 
 def ticker_match(spark, root):
-    return M.term_hits(_texts(spark, root), R.terms(registry(spark, root)).where("kind = 'ticker'")).select("message_id", "canonical_code", "keyword")
+    return M.term_hits(_texts(spark, root), _terms(spark, root).where("kind = 'ticker'")).select("message_id", "canonical_code", "keyword")
 
 
 def negative_context_veto(spark, root):
-    hits = M.term_hits(_texts(spark, root), R.terms(registry(spark, root)))
+    hits = M.term_hits(_texts(spark, root), _terms(spark, root))
     veto = hits.where("kind = 'negative'").select("message_id", "canonical_code").distinct()
     return hits.where("kind <> 'negative'").select("message_id", "canonical_code").distinct().join(veto, ["message_id", "canonical_code"], "left_anti")
 
