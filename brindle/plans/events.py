@@ -32,8 +32,9 @@ def record_projection(spark, root):
 
 
 def record_key(spark, root):
-    r = I.records(_events(spark, root)).where("source_key not like 'event:%'")
-    return r.select("message_id", F.col("place").cast("long").alias("place"), "source_key")
+    """Keys of all records; of an event's own digest, whose bytes differ by JSON writer, only the kind."""
+    r = I.records(_events(spark, root))
+    return r.select("message_id", F.col("place").cast("long").alias("place"), F.regexp_replace("source_key", "^event:.*", "event").alias("source_key"))
 
 
 def record_key_event(spark, root):
@@ -64,7 +65,7 @@ def source_backfill(spark, root):
 
 
 def normalize_dedup(spark, root):
-    return table(spark, root, "messages").where("text is not null and not text rlike '[^\\\\x00-\\\\x7f]'").select("id", T.dedup_form(F.col("text")).alias("form"))
+    return table(spark, root, "messages").where("text is not null").select("id", T.dedup_form(F.col("text")).alias("form"))
 
 
 def language_dist(spark, root):
@@ -98,8 +99,9 @@ def candidates_dedup(spark, root):
 
 
 def insert_or_ignore(spark, root):
+    """Messages that came with candidate pairs are stored; the rest arrives."""
     m = table(spark, root, "messages").select("id", "source_key")
-    stored = m.where("id % 3 = 0")
+    stored = m.join(table(spark, root, "candidate_pairs").select(F.col("message_id").alias("id")), "id", "left_semi")
     return S.first_per_key(S.new_rows(m, stored, ["source_key"]), "source_key", "id").select("source_key", "id")
 
 
@@ -138,23 +140,26 @@ _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8194) || chr(8201)
 _TEXTS = "list_filter([" + ", ".join(f"trim(coalesce(json_extract_string(e, '$.{f}'), ''), {_WS})" for f in I.TEXT_FIELDS) + "], lambda x: lower(x) not in ('', 'null', '{}', '[]'))"
 
 
+FORM = "trim(regexp_replace(regexp_replace(lower(regexp_replace(text, 'https?://[^ \\t\\n\\f\\r\\x0b]+', '', 'g')), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
 def oracle_sql():
     return {
         "envelope_flatten": f"with {_EVENTS} select message_id, place, {_ID} source_id from events_",
         "extract_text": f"with {_EVENTS}, t as (select message_id, place, {_TEXTS} x from events_) select message_id, place, coalesce(array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), chr(10)), '') as text from t",
         "source_type": f"""with {_EVENTS} select message_id, place, case when trim(coalesce({_F.format('source_type')}, '')) <> '' then lower(trim({_F.format('source_type')})) when contains(lower({_URL}), 'twitter.com/') or contains(lower({_URL}), 'x.com/') or coalesce({_F.format('id_str')}, '') <> '' then 'twitter' when coalesce({_F.format('content_url')}, '') <> '' or coalesce({_F.format('types')}, '') <> '' then 'news' else 'unknown' end source_type from events_""",
         "record_projection": f"with {_EVENTS} select message_id, place, {_ID} source_id, {_URL} source_url, coalesce({_F.format('create_time')}, '') published_at from events_",
-        "record_key": f"with {_EVENTS} select message_id, place, case when trim({_ID}) <> '' then 'id:' || {_ID} else 'text:' || sha256('') end source_key from events_ where trim({_ID}) <> '' or e::varchar = '{{}}'",
+        "record_key": f"with {_EVENTS} select message_id, place, case when trim({_ID}) <> '' then 'id:' || {_ID} when e::varchar <> '{{}}' then 'event' else 'text:' || sha256('') end source_key from events_",
         "heartbeat_filter": "select case when event_id % 2 = 0 then 'whole' else 'inner' end kind, count(*) n from events where not (event_id % 3 = 0 and event_id % 2 = 0) group by 1",
         "message_time": "select id, coalesce(nullif(trim(published_at), ''), received_at) message_time from messages",
         "nonblank_messages": "select id, length(text) characters from messages where trim(text) <> ''",
         "source_backfill": "select case when source_type = 'unknown' and (contains(lower(source_url), 'twitter.com/') or contains(lower(source_url), 'x.com/') or contains(lower(source_url), 'app.')) then 'twitter' else source_type end source_type, count(*) n from messages group by 1",
-        "normalize_dedup": "select id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, 'https?://[^ \\t\\n\\r]+', '', 'g')), '[^a-z0-9_]+', ' ', 'g'), ' +', ' ', 'g')) form from messages where text is not null and not regexp_matches(text, '[^\\x00-\\x7f]')",
+        "normalize_dedup": f"select id, {FORM} form from messages where text is not null",
         "language_dist": "select case when regexp_matches(text, '[一-鿿]') then 'cn' else 'en' end as language, count(*) n from messages where trim(text) <> '' group by 1",
         "epoch_ms": "select id, strftime(make_timestamp(published_at::bigint * 1000), '%Y-%m-%dT%H:%M:%S') iso from messages where regexp_full_match(published_at, '[0-9]{13}')",
         "save_messages_dedup": "select source_key, min(id) id from messages group by source_key",
         "candidates_dedup": "select message_id, count(*) n from (select distinct message_id, coalesce(stocker_id, '') a, coalesce(stocker_code, '') b, coalesce(stocker_name, '') c from upstream_candidates) group by message_id",
-        "insert_or_ignore": "select source_key, min(id) id from messages where source_key not in (select source_key from messages where id % 3 = 0) group by source_key",
+        "insert_or_ignore": "select source_key, min(id) id from messages where source_key not in (select source_key from messages where id in (select message_id from candidate_pairs)) group by source_key",
         "latest_delivery": "select source_key, id, status from (select *, row_number() over (partition by source_key order by id desc) rn from messages) where rn = 1",
         "table_counts": " union all ".join(f"select '{t}' table_name, count(*) n from {t}" for t in ("messages", "upstream_candidates", "candidate_pairs", "companies", "binance_tradfi_instruments")),
         "snapshot_summary": "select count(*) messages, count(*) filter (where trim(text) <> '') valid, count(distinct source_key) keys, min(created_at) first_at, max(created_at) last_at from messages",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import dataset as D, evaluate as E, store as S
+from brindle.plans.events import FORM
 from brindle.session import table
 
 
@@ -132,22 +133,23 @@ def _units(spark, root):
     p = _pairs(spark, root)
     m = p.groupBy("message_id").agg(F.min("message_text").alias("t"), F.count("*").alias("pairs"))
     at = table(spark, root, "messages").select(F.col("id").alias("message_id"), "created_at")
-    return m.join(at, "message_id").groupBy("t").agg(F.min("message_id").alias("cluster"), F.sum("pairs").alias("pairs"), F.max("created_at").alias("at")).drop("t")
+    return m.join(at, "message_id").groupBy("t").agg(F.min("message_id").alias("cluster"), F.sum("pairs").alias("pairs"), F.max("created_at").alias("at"))
 
 
 def time_split(spark, root):
-    return S.running_split(_units(spark, root), "pairs", ["at", "cluster"], [("train", 0.70), ("val", 0.85)], "test").select("cluster", "split")
+    return S.running_split(_units(spark, root).drop("t"), "pairs", ["at", "cluster"], [("train", 0.70), ("val", 0.85)], "test").select("cluster", "split")
 
 
 def frozen_split(spark, root):
-    """As time_split, with the clusters of ids divisible by 13 frozen as test and the rest split at 70 to 15."""
+    """As time_split, with the clusters that hold a frozen test message as test and the rest split at 70 to 15."""
     u = _units(spark, root)
-    rest = S.running_split(u.where("cluster % 13 <> 0"), "pairs", ["at", "cluster"], [("train", 0.70 / 0.85)], "val").select("cluster", "split")
-    return rest.union(u.where("cluster % 13 = 0").select("cluster", F.lit("test")))
+    frozen = _pairs(spark, root).where("split = 'test'").select(F.col("message_text").alias("t")).distinct()
+    rest = S.running_split(u.join(frozen, "t", "left_anti").drop("t"), "pairs", ["at", "cluster"], [("train", 0.70 / 0.85)], "val").select("cluster", "split")
+    return rest.union(u.join(frozen, "t", "left_semi").select("cluster", F.lit("test")))
 
 
 def _forms(spark, root):
-    return table(spark, root, "messages").where("text is not null and not text rlike '[^\\\\x00-\\\\x7f]'").select("id", T.dedup_form(F.col("text")).alias("form"))
+    return table(spark, root, "messages").where("text is not null").select("id", T.dedup_form(F.col("text")).alias("form"))
 
 
 def rare_word_pairs(spark, root):
@@ -222,14 +224,13 @@ def latency_percentiles(spark, root):
 
 
 def _shadow(spark, root):
-    """Predictions of two model versions that keep part of a message's codes, with the rule's codes and their agreement."""
-    p = _pairs(spark, root)
-    out = None
-    for v, name in ((1, "v1"), (2, "v2")):
-        keep = F.pmod(F.col("message_id") * 37 + F.length("code") * 11 * v, F.lit(10)) < 7
-        one = p.where(f"message_id % 7 <> {v}").groupBy("message_id").agg(F.lit(name).alias("model_version"), F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("code")))), ",").alias("model_codes"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("label") == 1, F.col("code")))), ",").alias("rule_codes"))
-        out = one if out is None else out.union(one)
-    return out.withColumn("agrees", (F.col("model_codes") == F.col("rule_codes")).cast("int"))
+    """Predictions of two model versions with the labelled codes and their agreement: v1 keeps the codes whose ticker the
+    message has; v2, which only saw news, those whose name it has."""
+    p = table(spark, root, "candidate_pairs").where("message_text is not null").select("message_id", "source_type", "message_text", F.col("candidate_code").alias("code"), "label", F.lower(F.substring_index("candidate_profile", " | ", 1)).alias("name"))
+    kept = {"v1": F.contains("message_text", F.substring_index("code", ":", -1)), "v2": F.contains(F.lower("message_text"), F.col("name"))}
+    codes = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("code")))), ",")
+    parts = [(p if v == "v1" else p.where("source_type = 'news'")).groupBy("message_id").agg(F.lit(v).alias("model_version"), codes(k).alias("model_codes"), codes(F.col("label") == 1).alias("rule_codes")) for v, k in kept.items()]
+    return parts[0].union(parts[1]).withColumn("agrees", (F.col("model_codes") == F.col("rule_codes")).cast("int"))
 
 
 def shadow_agreement(spark, root):
@@ -250,8 +251,9 @@ def review_eligible(spark, root):
 
 
 def review_queue(spark, root):
-    """The first 40 eligible messages that no reviewer saw (ids divisible by 5 count as seen), limited before the fan-out join."""
-    top = review_eligible(spark, root).where("message_id % 5 <> 0").orderBy("priority_group", F.desc("message_id")).limit(40)
+    """The first 40 eligible messages that no annotator was sure of, limited before the fan-out join."""
+    sure = table(spark, root, "candidate_pairs").where("annotation_confidence = 'high'").select("message_id")
+    top = review_eligible(spark, root).join(sure, "message_id", "left_anti").orderBy("priority_group", F.desc("message_id")).limit(40)
     return top.join(_shadow(spark, root), "message_id").select("message_id", "priority_group", "model_version", "model_codes")
 
 
@@ -264,15 +266,17 @@ _P = "pairs as (select message_id, candidate_code code, max(label) label, min(sp
 _SETS = f"""{_P}, correct as (select message_id, code from pairs where label = 1), loc as (select message_id, code from pairs where contains(message_text, split_part(code, ':', -1))),
 reg as (select distinct exchange || ':' || ticker code, company_name from companies), up as (select distinct message_id, stocker_code code from upstream_candidates where stocker_code in (select code from reg))"""
 _LABELS = f"{_SETS}, tagged as (select message_id, code, 0 p from correct union all select message_id, code, 1 from loc union all select message_id, code, 2 from up), labelled as (select message_id, code, (min(p) = 0)::int label, case min(p) when 1 then 'hard_rule' when 2 then 'hard_upstream' else '' end negative_type from tagged group by message_id, code)"
-_UNITS = f"{_P}, m as (select message_id, min(message_text) t, count(*) pairs from pairs group by message_id), units as (select min(m.message_id) \"cluster\", sum(m.pairs) pairs, max(x.created_at) at_ from m join messages x on x.id = m.message_id group by t)"
+_UNITS = f"{_P}, m as (select message_id, min(message_text) t, count(*) pairs from pairs group by message_id), units as (select t, min(m.message_id) \"cluster\", sum(m.pairs) pairs, max(x.created_at) at_ from m join messages x on x.id = m.message_id group by t)"
 _SCORED = f"{_P}, scored as (select *, ((message_id * 31 + length(code) * 17 + label * 400) % 1000) / 1000.0::double score from pairs)"
 _RATES = "coalesce(tp / nullif(tp + fp, 0)::double, 0) as precision, coalesce(tp / nullif(tp + fn, 0)::double, 0) recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0) f1"
 _COUNTS = "count(*) filter ({p} and label = 1) tp, count(*) filter ({p} and label <> 1) fp, count(*) filter (not ({p}) and label = 1) fn, count(*) filter (not ({p}) and label <> 1) tn"
 _SWEEP = "val as (select {s} score, label from scored where split = 'val'), grid as (select distinct score threshold from val union select 0.0 union select 1.0), sw as (select threshold, count(*) filter (score >= threshold and label = 1) tp, count(*) filter (score >= threshold and label <> 1) fp, count(*) filter (score < threshold and label = 1) fn from grid, val group by threshold), sweep as (select threshold::double threshold, tp, fp, fn, " + _RATES + " from sw)"
 _PICKS = "picks as (select 'f1' policy, max_by(threshold, (f1, -threshold)) threshold, max(f1) \"value\" from sweep union all select 'precision_at_recall', max_by(threshold, (\"precision\", -threshold)), max(\"precision\") from sweep where recall >= 0.5 union all select 'recall_at_precision', max_by(threshold, (recall, -threshold)), max(recall) from sweep where \"precision\" >= 0.5 union all select 'f1_at_both', max_by(threshold, (f1, -threshold)), max(f1) from sweep where recall >= 0.5 and \"precision\" >= 0.5)"
-_FORMS = "forms as (select id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, 'https?://[^ \\t\\n\\r]+', '', 'g')), '[^a-z0-9_]+', ' ', 'g'), ' +', ' ', 'g')) form from messages where text is not null and not regexp_matches(text, '[^\\x00-\\x7f]'))"
-_SHADOW = f"""{_P}, sh as (select message_id, 'v' || v model_version, coalesce(string_agg(distinct case when (message_id * 37 + length(code) * 11 * v) % 10 < 7 then code end, ',' order by case when (message_id * 37 + length(code) * 11 * v) % 10 < 7 then code end), '') model_codes,
- coalesce(string_agg(distinct case when label = 1 then code end, ',' order by case when label = 1 then code end), '') rule_codes from pairs, (values (1), (2)) w(v) where message_id % 7 <> v group by message_id, v), shadow as (select *, (model_codes = rule_codes)::int agrees from sh)"""
+_FORMS = f"forms as (select id, {FORM} form from messages where text is not null)"
+_SHADOW = """sp as (select message_id, source_type, message_text, candidate_code code, label, lower(split_part(candidate_profile, ' | ', 1)) name from candidate_pairs where message_text is not null),
+both_ as (select 'v1' model_version, *, contains(message_text, split_part(code, ':', -1)) keep from sp union all select 'v2', *, contains(lower(message_text), name) from sp where source_type = 'news'),
+sh as (select message_id, model_version, coalesce(string_agg(distinct case when keep then code end, ',' order by case when keep then code end), '') model_codes, coalesce(string_agg(distinct case when label = 1 then code end, ',' order by case when label = 1 then code end), '') rule_codes from both_ group by message_id, model_version),
+shadow as (select *, (model_codes = rule_codes)::int agrees from sh)"""
 _ELIGIBLE = f"{_SHADOW}, eligible as (select message_id, case when count(distinct model_codes) = 1 then 0 else 1 end priority_group from shadow group by message_id having count(distinct model_version) = 2 and min(agrees) = 0)"
 
 
@@ -298,7 +302,7 @@ def oracle_sql():
         "background_negatives": f"with {_SETS}, free as (select id message_id from messages where trim(text) <> '' and id not in (select message_id from pairs) order by (id * 7919) % 10007, id limit 100), codes as (select code, row_number() over (order by code) - 1 ord from (select distinct code from reg)) select message_id, code from free join codes on ord = (message_id * 31) % (select count(*) from reg)",
         "pair_summary": f"with {_P} select label, count(*) filter (split = 'train') train, count(*) filter (split = 'val') val, count(*) filter (split = 'test') test from pairs group by label",
         "time_split": f"with {_UNITS}, r as (select *, sum(pairs) over (order by at_, \"cluster\" rows unbounded preceding) / (select sum(pairs) from units)::double share from units) select \"cluster\", case when share <= 0.70 then 'train' when share <= 0.85 then 'val' else 'test' end split from r",
-        "frozen_split": f"with {_UNITS}, k as (select * from units where \"cluster\" % 13 <> 0), r as (select *, sum(pairs) over (order by at_, \"cluster\" rows unbounded preceding) / (select sum(pairs) from k)::double share from k) select \"cluster\", case when share <= 0.70 / 0.85 then 'train' else 'val' end split from r union all select \"cluster\", 'test' from units where \"cluster\" % 13 = 0",
+        "frozen_split": f"with {_UNITS}, f as (select distinct message_text t from pairs where split = 'test'), k as (select * from units where t not in (select t from f)), r as (select *, sum(pairs) over (order by at_, \"cluster\" rows unbounded preceding) / (select sum(pairs) from k)::double share from k) select \"cluster\", case when share <= 0.70 / 0.85 then 'train' else 'val' end split from r union all select \"cluster\", 'test' from units where t in (select t from f)",
         "rare_word_pairs": f"with {_FORMS}, each as (select distinct id, unnest(string_split(form, ' ')) word from forms), kept as (select * from each where length(word) >= 3 and word in (select word from each where length(word) >= 3 group by word having count(*) between 2 and 15)) select x.id a, y.id b, count(*) shared from kept x join kept y on x.word = y.word and x.id < y.id group by 1, 2 having count(*) >= 3",
         "exact_dup_clusters": f"with {_FORMS} select id, min(id) over (partition by form) \"cluster\" from forms",
         "binary_metrics": f"with {_SCORED}, c as (select split, {_COUNTS.format(p='score >= 0.5')} from scored group by split) select *, {_RATES} from c",
@@ -313,5 +317,5 @@ def oracle_sql():
         "shadow_summary": f"with {_SHADOW} select model_version, count(*) total, sum(agrees)::bigint agreeing, count(*) filter (agrees = 0) disagreeing from shadow group by model_version",
         "shadow_disagreements": f"with {_SHADOW} select s.message_id, model_version, model_codes, rule_codes, agrees, m.source_type from shadow s join messages m on m.id = s.message_id where agrees = 0 order by s.message_id desc, model_version limit 50",
         "review_eligible": f"with {_ELIGIBLE} select message_id, priority_group from eligible",
-        "review_queue": f"with {_ELIGIBLE}, top as (select * from eligible where message_id % 5 <> 0 order by priority_group, message_id desc limit 40) select t.message_id, priority_group, model_version, model_codes from top t join shadow s on s.message_id = t.message_id",
+        "review_queue": f"with {_ELIGIBLE}, top as (select * from eligible where message_id not in (select message_id from candidate_pairs where annotation_confidence = 'high') order by priority_group, message_id desc limit 40) select t.message_id, priority_group, model_version, model_codes from top t join shadow s on s.message_id = t.message_id",
     }
