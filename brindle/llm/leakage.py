@@ -31,7 +31,7 @@ from brindle.llm import codepoints as C
 from brindle.llm.nearwords import words
 from brindle.session import checkpoint, widened
 
-FEATURES, RANK, WINDOW, STEP, ITEM_STEP, PASSAGE = 8192, 128, 14, 7, 2, 28
+FEATURES, RANK, WINDOW, STEP, ITEM_STEP, PASSAGE = 8192, 128, 14, 7, 3, 28
 COSINE, NEAR, MIN_WORDS, MIN_HAN, REPLACED, ITEMS = 0.7, 11, 28, 38, 0.1, 20_000
 BLOCK_FEATURES = 256
 _MARKUP = r"</?[A-Za-z][^<>]*>|&[A-Za-z]+;|&#\d+;|_"
