@@ -70,12 +70,40 @@ def columnar_payload(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(checked.alias("row"))
 
 
+def registry_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Manual rows of the registry as they stand; `operators.registry.manual_companies` splits their lists."""
+    kind = "company_id string, company_name string, exchange string, ticker string, aliases string, brands string, negative_contexts string"
+    return spark.read.schema(kind).csv(path, header=True, encoding="UTF-8", quote='"', escape='"', multiLine=True)
+
+
+def id_list(spark: SparkSession, path: str, field: str = "message_ids") -> DataFrame:
+    """Distinct ids of a list in one JSON document, such as frozen test messages."""
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<{field}:array<long>>")[field].alias("ids"))
+    return doc.select(F.explode("ids").alias("message_id")).distinct()
+
+
+def news_records(news: DataFrame, tag: str) -> DataFrame:
+    """Records of news rows with a title, tagged with their import."""
+    title = ustrip(F.coalesce(F.col("title_cn"), F.lit("")))
+    return news.where(title != "").select(F.concat(F.lit("id:"), F.col("id")).alias("source_key"), F.col("id").cast("string").alias("source_id"), F.lit("news").alias("source_type"), title.alias("text"), F.lit(tag).alias("import_batch"))
+
+
 def news_csv(spark: SparkSession, path: str) -> DataFrame:
     """News rows in the order of their number, with or without a byte order mark."""
     df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True)
     return df.toDF(*(c.lstrip("﻿") for c in df.columns)).withColumn("id", F.col("id").cast("int")).orderBy("id")
 
 
+def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Fixed columns with a header."""
+    df.select(*columns).write.mode("overwrite").csv(path, header=True)
+
+
+def write_pairs(df: DataFrame, path: str) -> None:
+    """Pairs as JSONL, one folder a split."""
+    df.write.mode("overwrite").partitionBy("split").json(path)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
