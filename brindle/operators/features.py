@@ -54,9 +54,9 @@ def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
 def gram_weights(docs: DataFrame, grams: Column, min_df: int = 2) -> DataFrame:
     """(id, gram, weight): tf times smooth idf ln((1 + n) / (1 + df)) + 1, each document of length 1."""
     each = docs.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
+    n = docs.count()
     df = each.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    w = each.join(df, "gram").crossJoin(F.broadcast(n)).select("id", "gram", (F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)).alias("w"))  # n is one row
+    w = each.join(df, "gram").select("id", "gram", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -75,9 +75,9 @@ def _vectors(vocabulary: int) -> list:
 
 def balanced(pairs: DataFrame) -> DataFrame:
     """Adds `weight`: rows of a label weigh as much in all as those of the other."""
-    n = pairs.agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    w = F.when(F.col("label") == 1, F.col("n") / (2 * F.greatest(F.col("p"), F.lit(1)))).otherwise(F.col("n") / (2 * F.greatest(F.col("n") - F.col("p"), F.lit(1))))
-    return pairs.crossJoin(F.broadcast(n)).withColumn("weight", w.cast("double")).drop("n", "p")  # n is one row
+    n = pairs.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
+    p = n["p"] or 0
+    return pairs.withColumn("weight", F.when(F.col("label") == 1, n["n"] / (2 * max(p, 1))).otherwise(n["n"] / (2 * max(n["n"] - p, 1))).cast("double"))
 
 
 def fit(pairs: DataFrame, kind: str = "lr", vocabulary: int = 20_000) -> PipelineModel:

@@ -83,9 +83,10 @@ def synthetic_time(spark, root):
 
     news = table(spark, root, "messages").where("source_type = 'news'").select(F.col("id").alias("message_id"))
     t = message_times(table(spark, root, "messages")).where("field = 'received_at'").join(news, "message_id")
-    anchor = t.agg(F.min(F.to_timestamp("utc_time")).alias("anchor"), F.count("*").alias("n"))
+    anchor = t.agg(F.min("utc_time").alias("at"), F.count("*").alias("n")).first()
     ids = S.running_split(news.withColumn("one", F.lit(1)), "one", ["message_id"], [], "").select("message_id", (F.col("running") - 1).alias("place"))
-    return ids.crossJoin(F.broadcast(anchor)).select("message_id", F.date_format(F.expr("anchor + make_interval(0, 0, 0, 0, 0, 0, place - n - 10)"), "yyyy-MM-dd HH:mm:ss").alias("synthetic"))
+    seconds = F.unix_timestamp(F.to_timestamp(F.lit(anchor["at"]))) + F.col("place") - F.lit(anchor["n"] + 10)
+    return ids.select("message_id", F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss").alias("synthetic"))
 
 
 def save_messages_dedup(spark, root):

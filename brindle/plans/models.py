@@ -45,8 +45,8 @@ def _featured(spark, root):
 def _quality(spark, root, kind):
     rows = _featured(spark, root)
     scored = checkpoint(X.score(X.fit(rows.where("split = 'train'"), kind), rows.where("split <> 'train'")).select("split", "label", "score"))
-    t = E.picks(E.threshold_sweep(scored.where("split = 'val'"))).where("policy = 'f1'").select("threshold")
-    return E.binary_metrics(scored.crossJoin(F.broadcast(t)), F.col("score") >= F.col("threshold"), "label", "split")  # one threshold
+    t = E.picks(E.threshold_sweep(scored.where("split = 'val'"))).where("policy = 'f1'").first()["threshold"]
+    return E.binary_metrics(scored, F.col("score") >= F.lit(t), "label", "split")
 
 
 def train_lr(spark, root):

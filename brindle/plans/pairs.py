@@ -205,8 +205,10 @@ def variant_pick(spark, root):
 def frozen_test_eval(spark, root):
     """Thresholds chosen on the validation split, applied to the test split."""
     s = _scored(spark, root)
-    t = E.picks(E.threshold_sweep(s.where("split = 'val'")), 0.5, 0.5).where("threshold is not null").select("policy", "threshold")
-    return E.binary_metrics(s.where("split = 'test'").crossJoin(F.broadcast(t)), F.col("score") >= F.col("threshold"), "label", "policy")  # four policies
+    chosen = E.picks(E.threshold_sweep(s.where("split = 'val'")), 0.5, 0.5).where("threshold is not null").collect()  # at most four policies
+    each = F.array(*(F.struct(F.lit(r["policy"]).alias("policy"), F.lit(r["threshold"]).alias("threshold")) for r in chosen))
+    tried = s.where("split = 'test'").select("*", F.explode(each).alias("t")).select("label", "score", "t.policy", "t.threshold")
+    return E.binary_metrics(tried, F.col("score") >= F.col("threshold"), "label", "policy")
 
 
 def rule_baseline(spark, root):
