@@ -38,17 +38,25 @@ _MARKUP = r"</?[A-Za-z][^<>]*>|&[A-Za-z]+;|&#\d+;|_"
 
 
 class Sequences:
-    """Words of a batch of texts: hashes, rows, characters; offsets of the rows."""
+    """Words of a batch of texts: 32-bit hashes, rows, offsets of the rows; of texts also each word's characters."""
 
     def __init__(self, column: pa.Array) -> None:
-        column = pc.replace_substring_regex(column.cast(pa.string()).fill_null(""), pattern=_MARKUP, replacement=" ")
-        points, rows = C.normal_form(*C.decode(column))
-        self.hash, self.row, first, ends = words(points, rows)
-        self.n = len(column)
-        self.size = ends - first
-        self.han = np.isin(self.size, 1) & (points[first] >= 0x3400) if len(first) else np.zeros(0, bool)
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(self.row, minlength=self.n))]).astype(np.int64)
-        self.feature = (self.hash % np.uint64(FEATURES)).astype(np.int64)
+        if pa.types.is_list(column.type):
+            self.hash = np.asarray(column.flatten()).view(np.uint32)
+            counts = np.diff(np.asarray(column.offsets)).astype(np.int64)
+            self.n = len(column)
+            self.row = np.repeat(np.arange(self.n), counts)
+        else:
+            column = pc.replace_substring_regex(column.cast(pa.string()).fill_null(""), pattern=_MARKUP, replacement=" ")
+            points, rows = C.normal_form(*C.decode(column))
+            hashes, self.row, first, ends = words(points, rows)
+            self.hash = (hashes >> np.uint64(32)).astype(np.uint32)
+            self.n = len(column)
+            self.size = ends - first
+            self.han = (self.size == 1) & (points[first] >= 0x3400) if len(first) else np.zeros(0, bool)
+            counts = np.bincount(self.row, minlength=self.n)
+        self.at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.feature = (self.hash % np.uint32(FEATURES)).astype(np.int64)
 
     def chunks(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Start of each chunk of `width` words (the last of a text may be shorter), and the chunk of each word."""
@@ -57,6 +65,21 @@ class Sequences:
         return np.flatnonzero(starts), np.cumsum(starts) - 1
 
 
+def word_sequences(docs: DataFrame) -> DataFrame:
+    """(doc_id, words) of (doc_id, text): hashed words in order, of every text that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                b = whole.slice(start, 2000)
+                s = Sequences(b.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(s.at, pa.int32()), pa.array(s.hash.view(np.int32)))
+                keep = pa.array(np.diff(s.at) > 0)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(keep), lists.filter(keep)], names=["doc_id", "words"])
+
+    return docs.mapInArrow(run, "doc_id long, words array<int>")
+
+
 def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Passages that have each feature, and passages. FEATURES + 1 rows reach the driver."""
 
@@ -164,7 +187,6 @@ def contains(item: np.ndarray, weight: np.ndarray, need: int, around: np.ndarray
 def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", column: str = "text") -> DataFrame:
     """(doc_id, item_id) of each document and item of which it contains the whole or a long passage."""
     corpus = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(column).cast("string").alias("text")).where("text is not null")
-    corpus = widened(corpus)
     held = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(column).cast("string").alias("text")).where("text is not null").limit(ITEMS + 1).toPandas()
     if len(held) > ITEMS:
         raise ValueError(f"more than {ITEMS} held-out items: search them in blocks of as many")
@@ -172,10 +194,11 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
     schema = "doc_id long, item_id long"
     if not len(q.hash):
         return docs.sparkSession.createDataFrame([], schema)
-    texts = corpus.select("text")
-    df, n = _frequencies(texts)
+    corpus = checkpoint(word_sequences(widened(corpus)))  # read by the counts, the SVD and the search
+    sequences = widened(corpus.select("words"))
+    df, n = _frequencies(sequences)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32)
-    vectors = _basis(texts, idf) * idf[:, None]
+    vectors = _basis(sequences, idf) * idf[:, None]
     # windows of the items, in their own order
     starts = np.concatenate([np.arange(a, max(a + 1, b - WINDOW + 1), ITEM_STEP) for a, b in zip(q.at[:-1], q.at[1:]) if b > a])
     of = q.row[starts]
@@ -190,11 +213,11 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, windows, starts, of, words_, at, weight, need, ids = shared.value
-        padded = np.concatenate([words_, np.zeros(WINDOW + 2, np.uint64)])
+        padded = np.concatenate([words_, np.zeros(WINDOW + 2, np.uint32)])
         for whole in batches:
             for cut in range(0, whole.num_rows, 500):
                 b = whole.slice(cut, 500)
-                s = Sequences(b.column("text"))
+                s = Sequences(b.column("words"))
                 if not len(s.hash):
                     continue
                 first, _ = s.chunks(STEP)
@@ -206,7 +229,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
                 sole = np.concatenate([[True], row[1:] != row[:-1]])
                 use = np.flatnonzero(joined | sole)
                 found: list[np.ndarray] = []
-                doc = np.concatenate([s.hash, np.ones(WINDOW + 2, np.uint64)])
+                doc = np.concatenate([s.hash, np.ones(WINDOW + 2, np.uint32)])
                 for low in range(0, len(use), 2000):
                     some = use[low : low + 2000]
                     x, y = np.nonzero(_unit(parts[some]) @ windows.T >= COSINE)
@@ -239,7 +262,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
                 rows = sorted(out)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([r for r, _ in rows], pa.int64())), pa.array([ids[i] for _, i in rows], pa.int64())], names=["doc_id", "item_id"])
 
-    return corpus.mapInArrow(search, schema).distinct()
+    return widened(corpus).mapInArrow(search, schema).distinct()
 
 
 def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:
