@@ -69,3 +69,23 @@ def test_splits(spark, monkeypatch, block):
     report = overlap_report(df).collect()
     assert sum(r["pairs"] for r in report) == len(got) and {r["split"] for r in report} == {"val", "test"}
     assert split_overlaps(df.where("split <> 'train'")).count() == 0
+
+
+def test_hot_groups(spark, monkeypatch):
+    """A third of all rows is one text, another third edits of it that meet in most buckets: nothing is lost or repeated."""
+    monkeypatch.setattr(N, "BLOCK", 10)
+    monkeypatch.setattr(N, "BUCKETS", 256)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(base)) for i in range(60)]
+    for i in range(60, 120):
+        w = list(base)
+        w[rng.randrange(50)] = f"x{i}"
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(f"y{rng.randrange(5000)}" for _ in range(50))) for i in range(120, 180)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    got = [tuple(r) for r in N.near_duplicates(df, "id", "text").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    groups = {r["id"]: r["group"] for r in N.near_duplicate_groups(df, "id", "text").collect()}
+    assert all(groups[i] == 0 for i in range(120)) and groups[150] == 150
