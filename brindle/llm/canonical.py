@@ -130,7 +130,7 @@ def _by_name(typed: DataFrame, ref: DataFrame) -> DataFrame:
     n = F.regexp_replace("name_form", r"\([^)]*\)", " ")
     glued = F.regexp_replace(F.regexp_replace(n, rf"(?<=[A-Z]{{4}})(ETF)\b", " $1"), rf"(?<=[A-Z]{{4}})({ends})\b", " $1")
     words = F.filter(_words(glued), lambda w: F.length(w) <= longest)
-    line_of = lambda w: F.get(F.filter(known, lambda s: (s == w) | ((F.length(w) >= 3) & F.rlike(s, F.concat(F.lit("^"), F.regexp_replace(w, "(.)", "$1.*"), F.lit("$"))))), F.lit(0))
+    line_of = lambda w: F.get(F.filter(known, lambda s: (s == w) | ((F.length(w) >= 3) & (F.substring(s, 1, 1) == F.substring(w, 1, 1)) & F.rlike(s, F.concat(F.lit("^"), F.regexp_replace(w, "(.)", "$1.*"), F.lit("$"))))), F.lit(0))
     cn = F.regexp_replace(F.array_join(F.regexp_extract_all("name_form", F.lit("([一-鿿]+)"), 1), ""), rf"({LEGAL_CN})+$", "")
     t = typed.select("code", "name", words.alias("words"), cn.alias("cn")).withColumn("line_words", F.filter(F.transform("words", line_of), lambda x: x.isNotNull()))
     t = checkpoint(t.withColumn("mentions", F.filter("words", lambda w: line_of(w).isNull() & (F.length(w) >= 3))))
