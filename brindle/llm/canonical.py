@@ -108,7 +108,8 @@ def similar_words(typed: DataFrame, ref: DataFrame, t: float = SIMILARITY) -> Da
 
     def ordered(df: DataFrame, word: str) -> DataFrame:
         """One row per prefix token: word, all tokens in order, size, position."""
-        each = df.select(word, F.explode("tokens").alias("token")).join(rarity, "token", "left").select(word, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token").alias("o"))
+        # outer, as the filter of a plain explode would be computed again before the distinct
+        each = df.select(word, F.explode_outer("tokens").alias("token")).join(rarity, "token", "left").select(word, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token").alias("o"))
         lists = each.groupBy(word).agg(F.array_sort(F.collect_list("o")).alias("o"))  # a word has few tokens
         n = F.size("o")
         return lists.select(word, F.col("o.token").alias("all"), n.alias("n"), F.posexplode(F.slice(F.col("o.token"), F.lit(1), (n - F.ceil(F.lit(t) * n - 1e-9) + 1).cast("int"))).alias("at", "token"))
