@@ -9,6 +9,9 @@ from brindle.operators import matching as M, registry as R
 from brindle.session import checkpoint, table
 
 
+PATTERN_TICKERS = 5_000  # a registry has a few hundred numeric ones
+
+
 def registry(spark: SparkSession, root: str) -> DataFrame:
     return R.load_registry(table(spark, root, "companies"), table(spark, root, "binance_tradfi_instruments"))
 
@@ -124,7 +127,9 @@ def folded_matches(spark, root):
 
 
 def sanitize_text(spark, root):
-    numbers = [r["ticker"] for r in numeric_tickers(spark, root).where("length(ticker) >= 6").limit(5000).collect()]  # a registry has a few hundred
+    numbers = [r["ticker"] for r in numeric_tickers(spark, root).where("length(ticker) >= 6").limit(PATTERN_TICKERS + 1).collect()]
+    if len(numbers) > PATTERN_TICKERS:
+        raise ValueError("too many numeric tickers for one pattern")
     return table(spark, root, "messages").where("text is not null").select(F.col("id").alias("message_id"), T.sanitise(F.col("text"), numbers).alias("text"))
 
 
