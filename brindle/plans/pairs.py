@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import dataset as D, evaluate as E, store as S
 from brindle.plans.events import FORM
-from brindle.session import table
+from brindle.plans.mentions import matches
+from brindle.session import checkpoint, table
 
 
 def _pairs(spark, root):
@@ -20,7 +21,8 @@ def _correct(spark, root):
 
 
 def _local(spark, root):
-    return _pairs(spark, root).where(F.contains("message_text", F.substring_index("code", ":", -1))).select("message_id", "code")
+    """The codes that the matcher finds in each message; a table, as queries read it more than once."""
+    return checkpoint(matches(spark, root).select("message_id", F.col("canonical_code").alias("code")))
 
 
 def _registry(spark, root):
@@ -101,8 +103,9 @@ def pair_labels(spark, root):
 
 
 def real_candidate_count(spark, root):
-    both = _local(spark, root).union(_upstream(spark, root)).distinct().groupBy("message_id").agg(F.count("*").alias("serving"))
-    allc = pair_labels(spark, root).groupBy("message_id").agg(F.count("*").alias("training"))
+    local, upstream = _local(spark, root), _upstream(spark, root)
+    both = local.union(upstream).distinct().groupBy("message_id").agg(F.count("*").alias("serving"))
+    allc = D.pair_labels(_correct(spark, root), local, upstream).groupBy("message_id").agg(F.count("*").alias("training"))
     return allc.join(both, "message_id", "left").select("message_id", "training", F.coalesce("serving", F.lit(0)).alias("serving"))
 
 
