@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import dataset as D, evaluate as E, store as S
+from brindle.operators import dataset as D, evaluate as E, registry as R, store as S
 from brindle.plans.events import FORM
-from brindle.plans.mentions import matches
-from brindle.session import checkpoint, table
+from brindle.plans.mentions import matches, registry
+from brindle.session import bounded, checkpoint, table
 
 
 def _pairs(spark, root):
@@ -30,8 +30,11 @@ def _registry(spark, root):
 
 
 def _upstream(spark, root):
-    u = table(spark, root, "upstream_candidates").select("message_id", F.col("stocker_code").alias("code")).distinct()
-    return u.join(_registry(spark, root).select("code"), "code", "left_semi").select("message_id", "code")
+    """The companies of the merged registry that upstream rows name by ticker or full code, which event parsing trims and upper-cases."""
+    r = registry(spark, root)
+    known = R.ticker_codes(r).select(F.col("ticker").alias("typed"), F.col("canonical_code").alias("code")).union(r.select("canonical_code", "canonical_code")).distinct()
+    u = table(spark, root, "upstream_candidates").select("message_id", F.upper(T.ustrip(F.col("stocker_code"))).alias("typed")).distinct()
+    return u.join(bounded(checkpoint(known), 100_000), "typed").select("message_id", "code").distinct()
 
 
 def upstream_code_join(spark, root):

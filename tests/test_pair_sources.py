@@ -24,3 +24,7 @@ def test_local_codes_are_those_of_the_matcher(spark, root):
     assert rows(P._local(spark, root)) == [(1, "NASDAQ:NVDA"), (3, "NASDAQ:NVDA"), (3, "NYSE:PLTR")]
     assert rows(P.pair_labels(spark, root).where("negative_type = 'hard_rule'").select("message_id", "code")) == [(3, "NASDAQ:NVDA")]
     assert P.candidate_recall(spark, root).first()["local_hits"] == 2
+
+
+def test_upstream_codes_join_by_ticker_and_full_code(spark, root):
+    assert rows(P.upstream_code_join(spark, root)) == [(1, "NASDAQ:NVDA"), (2, "NASDAQ:MU"), (3, "NYSE:PLTR"), (5, "NYSE:C")]
