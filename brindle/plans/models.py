@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.operators import evaluate as E, features as X, registry as R
+from brindle.operators import evaluate as E, features as X
+from brindle.plans.mentions import registry
 from brindle.session import checkpoint, table
 
 
 def _pairs(spark, root):
     """One row per message and registered candidate with its texts, counts and registry lists."""
     p = table(spark, root, "candidate_pairs").groupBy("message_id", F.col("candidate_code").alias("code")).agg(F.max("label").alias("label"), F.min("split").alias("split"), F.min("source_type").alias("source_type"), F.min("message_text").alias("message_text"), F.min("candidate_profile").alias("profile"), F.max("real_candidate_count").alias("real_count"))
-    r = R.manual_companies(table(spark, root, "companies")).withColumn("code", F.concat_ws(":", "exchange", "ticker")).dropDuplicates(["code"]).select("code", "ticker", "aliases", "brands", "negative_contexts")
+    r = registry(spark, root).withColumnRenamed("canonical_code", "code").dropDuplicates(["code"]).select("code", "ticker", "aliases", "brands", "negative_contexts")
     return p.where("message_text is not null").join(r, "code")
 
 

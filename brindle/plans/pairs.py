@@ -26,7 +26,7 @@ def _local(spark, root):
 
 
 def _registry(spark, root):
-    return table(spark, root, "companies").select(F.concat_ws(":", "exchange", "ticker").alias("code"), "company_name").distinct()
+    return registry(spark, root).select(F.col("canonical_code").alias("code"), "company_name").distinct()
 
 
 def _upstream(spark, root):

@@ -1,6 +1,6 @@
 import pytest
 
-from brindle.plans import pairs as P
+from brindle.plans import models as M, pairs as P
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +28,10 @@ def test_local_codes_are_those_of_the_matcher(spark, root):
 
 def test_upstream_codes_join_by_ticker_and_full_code(spark, root):
     assert rows(P.upstream_code_join(spark, root)) == [(1, "NASDAQ:NVDA"), (2, "NASDAQ:MU"), (3, "NYSE:PLTR"), (5, "NYSE:C")]
+
+
+def test_pairs_of_the_master_have_features_and_are_known(spark, root):
+    got = {(r["message_id"], r["code"]): r for r in M.structured_features(spark, root).collect()}
+    assert sorted(got) == [(1, "NASDAQ:NVDA"), (2, "NYSE:C"), (3, "NYSE:PLTR"), (4, "NASDAQ:NVDA")]
+    assert (got[3, "NYSE:PLTR"]["has_alias"], got[3, "NYSE:PLTR"]["num_alias_hits"], got[3, "NYSE:PLTR"]["alias_count_total"]) == (1, 1, 2)
+    assert [r["code"] for r in P.unknown_codes(spark, root).collect()] == ["NYSE:GONE"] == [r["code"] for r in P.stale_codes(spark, root).collect()]
