@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.functions.text import contains_keyword, latin_pattern, without_urls
@@ -63,14 +64,17 @@ def gram_weights(docs: DataFrame, grams: Column, min_df: int = 2) -> DataFrame:
 
 def with_grams(pairs: DataFrame) -> DataFrame:
     text = F.concat_ws(" \n[CANDIDATE]\n ", F.col("message_text"), F.col("profile"))
-    return pairs.withColumn("words", word_grams(text)).withColumn("characters", char_grams(text, 2, 3))
+    return pairs.withColumn("words", word_grams(text)).withColumn("characters", char_grams(text))
 
 
-def _vectors(vocabulary: int) -> list:
+def _vectors(pairs: DataFrame, vocabulary: int) -> list:
+    """Fitted stages that give words_v and characters_v: tf times smooth idf ln((1 + n) / (1 + df)) + 1, each of length 1."""
     stages = []
     for c in ("words", "characters"):
-        stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_tf", minDF=2, vocabSize=vocabulary), IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf"), Normalizer(inputCol=f"{c}_idf", outputCol=f"{c}_v")]
-    return [*stages, VectorAssembler(inputCols=["words_v", "characters_v", *STRUCTURED], outputCol="features")]
+        tf = CountVectorizer(inputCol=c, outputCol=f"{c}_tf", minDF=2, vocabSize=vocabulary).fit(pairs)
+        idf = IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf").fit(tf.transform(pairs)).idf.toArray() + 1  # Spark's IDF goes without the 1
+        stages += [tf, ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"{c}_tf", outputCol=f"{c}_idf"), Normalizer(inputCol=f"{c}_idf", outputCol=f"{c}_v")]
+    return stages
 
 
 def balanced(pairs: DataFrame) -> DataFrame:
@@ -82,11 +86,12 @@ def balanced(pairs: DataFrame) -> DataFrame:
 
 def fit(pairs: DataFrame, kind: str = "lr", vocabulary: int = 20_000) -> PipelineModel:
     """TF-IDF and structured features under a balanced logistic regression ("lr") or boosted trees ("gbt", structured only)."""
+    rows = balanced(pairs)
     if kind == "gbt":
         stages = [VectorAssembler(inputCols=list(STRUCTURED), outputCol="features"), GBTClassifier(labelCol="label", weightCol="weight", maxIter=20, stepSize=0.1, seed=7)]
-    else:
-        stages = [*_vectors(vocabulary), LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)]
-    return Pipeline(stages=stages).fit(balanced(pairs))
+        return Pipeline(stages=stages).fit(rows)
+    stages = [*_vectors(rows, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v", *STRUCTURED], outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)]
+    return Pipeline(stages=stages).fit(rows)
 
 
 def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
@@ -96,9 +101,8 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
 def singular_values(pairs: DataFrame, k: int = 10, vocabulary: int = 2_000) -> list[float]:
     """Leading singular values of the TF-IDF matrix, without centring."""
     from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg import Vectors as Old
 
-    stages = _vectors(vocabulary)[:3]
-    rows = Pipeline(stages=stages).fit(pairs).transform(pairs).select("words_v").rdd.map(lambda r: Vectors.fromML(r[0]))
+    rows = PipelineModel(_vectors(pairs, vocabulary)[:3]).transform(pairs).select("words_v").rdd.map(lambda r: Old.fromML(r[0]))
     m = RowMatrix(rows)
     return [float(x) for x in m.computeSVD(min(k, int(m.numCols()), int(m.numRows()))).s]

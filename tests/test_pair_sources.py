@@ -1,5 +1,9 @@
+import math
+
 import pytest
+from pyspark.ml import PipelineModel
 
+from brindle.operators import features as X
 from brindle.plans import models as M, pairs as P
 
 
@@ -35,3 +39,15 @@ def test_pairs_of_the_master_have_features_and_are_known(spark, root):
     assert sorted(got) == [(1, "NASDAQ:NVDA"), (2, "NYSE:C"), (3, "NYSE:PLTR"), (4, "NASDAQ:NVDA")]
     assert (got[3, "NYSE:PLTR"]["has_alias"], got[3, "NYSE:PLTR"]["num_alias_hits"], got[3, "NYSE:PLTR"]["alias_count_total"]) == (1, 1, 2)
     assert [r["code"] for r in P.unknown_codes(spark, root).collect()] == ["NYSE:GONE"] == [r["code"] for r in P.stale_codes(spark, root).collect()]
+
+
+def test_model_grams_and_smooth_idf(spark):
+    texts = ["abcde", "abcde", "abcxy"]
+    df = X.with_grams(spark.createDataFrame([(t, None) for t in texts], "message_text string, profile string"))
+    assert max(len(g) for g in df.first()["characters"]) == 5 and "abcde" in df.first()["characters"]
+    stages = X._vectors(df, 100)
+    m = PipelineModel(stages).transform(df).first()
+    w = {g: math.log(4 / (1 + n)) + 1 for g, n in {"ab": 3, "bc": 3, "abc": 3, "cd": 2, "de": 2, "bcd": 2, "cde": 2, "abcd": 2, "bcde": 2, "abcde": 2}.items()}
+    norm = math.sqrt(sum(x * x for x in w.values()))
+    got = dict(zip(stages[3].vocabulary, m["characters_v"].toArray()))
+    assert set(got) == set(w) and all(abs(got[g] - x / norm) < 1e-9 for g, x in w.items())
