@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.mllib.linalg import Vectors as Old
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.functions.text import contains_keyword, latin_pattern, without_urls
@@ -84,13 +90,29 @@ def balanced(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("weight", F.when(F.col("label") == 1, n["n"] / (2 * max(p, 1))).otherwise(n["n"] / (2 * max(n["n"] - p, 1))).cast("double"))
 
 
-def fit(pairs: DataFrame, kind: str = "lr", vocabulary: int = 20_000) -> PipelineModel:
-    """TF-IDF and structured features under a balanced logistic regression ("lr") or boosted trees ("gbt", structured only)."""
+def _svd(pairs: DataFrame, vocabulary: int, k: int) -> tuple[list, list[float]]:
+    """Fitted stages that give `svd`, the word and character TF-IDF on its leading components without centring, and the singular values."""
+    stages = [*_vectors(pairs, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v"], outputCol="grams_v")]
+    rows = PipelineModel(stages).transform(pairs).select("grams_v").rdd.map(lambda r: Old.fromML(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        m = RowMatrix(rows)
+        svd = m.computeSVD(max(1, min(k, int(m.numCols()) - 1, int(m.numRows()) - 1)))
+    finally:
+        rows.unpersist()
+    sc = pairs.sparkSession.sparkContext
+    values = [float(x) for x in svd.s]
+    projection = sc._jvm.org.apache.spark.ml.feature.PCAModel(f"svd_{uuid.uuid4().hex[:12]}", _py2java(sc, svd.V.asML()), _py2java(sc, Vectors.dense(values)))  # its transform is a product with V; only PCA's fit would centre
+    projection.set(projection.k().w(len(values)))
+    return [*stages, PCAModel(projection).setInputCol("grams_v").setOutputCol("svd")], values
+
+
+def fit(pairs: DataFrame, kind: str = "lr", vocabulary: int = 20_000, trees: int = 300, components: int = 100) -> PipelineModel:
+    """TF-IDF and structured features under a balanced logistic regression ("lr"), or boosted trees of up to 32 leaves on the SVD of the TF-IDF and the structured features ("gbt")."""
     rows = balanced(pairs)
     if kind == "gbt":
-        stages = [VectorAssembler(inputCols=list(STRUCTURED), outputCol="features"), GBTClassifier(labelCol="label", weightCol="weight", maxIter=20, stepSize=0.1, seed=7)]
-        return Pipeline(stages=stages).fit(rows)
-    stages = [*_vectors(rows, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v", *STRUCTURED], outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)]
+        stages = [*_svd(rows, vocabulary, components)[0], VectorAssembler(inputCols=["svd", *STRUCTURED], outputCol="features"), GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.05, seed=7)]
+    else:
+        stages = [*_vectors(rows, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v", *STRUCTURED], outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)]
     return Pipeline(stages=stages).fit(rows)
 
 
@@ -98,11 +120,6 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     return model.transform(pairs).withColumn("score", vector_to_array("probability")[1])
 
 
-def singular_values(pairs: DataFrame, k: int = 10, vocabulary: int = 2_000) -> list[float]:
-    """Leading singular values of the TF-IDF matrix, without centring."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.linalg import Vectors as Old
-
-    rows = PipelineModel(_vectors(pairs, vocabulary)[:3]).transform(pairs).select("words_v").rdd.map(lambda r: Old.fromML(r[0]))
-    m = RowMatrix(rows)
-    return [float(x) for x in m.computeSVD(min(k, int(m.numCols()), int(m.numRows()))).s]
+def singular_values(pairs: DataFrame, k: int = 100, vocabulary: int = 20_000) -> list[float]:
+    """Leading singular values of the word and character TF-IDF matrix, without centring."""
+    return _svd(pairs, vocabulary, k)[1]

@@ -1,5 +1,7 @@
+import inspect
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 
@@ -51,3 +53,17 @@ def test_model_grams_and_smooth_idf(spark):
     norm = math.sqrt(sum(x * x for x in w.values()))
     got = dict(zip(stages[3].vocabulary, m["characters_v"].toArray()))
     assert set(got) == set(w) and all(abs(got[g] - x / norm) < 1e-9 for g, x in w.items())
+
+
+def test_boosted_trees_read_the_svd_of_both_blocks(spark):
+    texts = [f"{'gold mine opens' if i % 2 else 'old wine list'} {i % 5}" for i in range(40)]
+    rows_ = [(t, "p", i % 2, *[0.0] * len(X.STRUCTURED)) for i, t in enumerate(texts)]
+    df = X.with_grams(spark.createDataFrame(rows_, f"message_text string, profile string, label int, {', '.join(f'{n} double' for n in X.STRUCTURED)}")).persist()
+    model = X.fit(df, "gbt", 500, trees=2, components=4)
+    got = X.score(model, df).select("words_v", "characters_v", "svd", "features", "score", "label").collect()
+    assert all(len(r["svd"]) == 4 and len(r["features"]) == 4 + len(X.STRUCTURED) for r in got)
+    a = np.array([np.concatenate([r["words_v"].toArray(), r["characters_v"].toArray()]) for r in got])
+    s = np.linalg.svd(a, compute_uv=False)[:4]
+    assert np.allclose(X.singular_values(df, 4, 500), s) and np.allclose(np.linalg.norm(np.array([r["svd"].toArray() for r in got]), axis=0), s)
+    assert min(r["score"] for r in got if r["label"]) > max(r["score"] for r in got if not r["label"])  # structured features alone are equal
+    assert inspect.signature(X.fit).parameters["trees"].default == 300
