@@ -69,13 +69,27 @@ class TreeAutomaton:
         return s
 
     def classify(self, value) -> int:
-        if isinstance(value, dict):
-            return self._state(("object", tuple(sorted((k, self.classify(v)) for k, v in value.items()))))
-        if isinstance(value, list):
-            return self._state(("array", tuple(sorted({self.classify(v) for v in value}))))
-        if isinstance(value, str) and isinstance(inner := unquote(value), (dict, list)):
-            return self._state(("quoted", self.classify(inner)))
-        return self._state(type(value).__name__)
+        out: list[int] = []  # states of values whose parent isn't done
+        stack: list[tuple[str, object]] = [("value", value)]
+        while stack:
+            step, v = stack.pop()
+            if step == "value":
+                if isinstance(v, dict):
+                    stack.append(("object", list(v)))
+                    stack.extend(("value", x) for x in reversed(v.values()))
+                elif isinstance(v, list):
+                    stack.append(("array", v))
+                    stack.extend(("value", x) for x in v)
+                elif isinstance(v, str) and isinstance(inner := unquote(v), (dict, list)):
+                    stack += [("quoted", [inner]), ("value", inner)]
+                else:
+                    out.append(self._state(type(v).__name__))
+                continue
+            n = len(out) - len(v)
+            states, out[n:] = out[n:], []
+            term = tuple(sorted(zip(v, states))) if step == "object" else tuple(sorted(set(states))) if step == "array" else states[0]
+            out.append(self._state((step, term)))
+        return out[0]
 
 
 def form_of(value) -> str:
