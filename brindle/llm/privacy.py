@@ -75,10 +75,12 @@ _N = r"(?:[A-Z][a-zß-öø-ÿ'’]+(?:-[A-Z][a-z]+)?|[A-Z][A-Z'’-]+)"
 _I = r"[A-Z]\.?"
 NAME = rf"{_N}(?:, {_N}(?: {_I})?|(?: {_I}){{0,2}} {_N}|(?: {_N})? [A-Z]\.)"
 TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Prof|Sir|Herr|Frau|Mme|Sra?|Rev)\.? )?"
+_OPENINGS = r"\b[Ss]igned,|\bSIGNED,|\b[Tt]hanks to|\bTHANKS TO|\bI spoke with|\bI SPOKE WITH|\b[Aa]sk for|\bASK FOR|\b[Cc]omplaint by|\bCOMPLAINT BY|\b[Dd]ear|\b[Aa]ttn:?|\b[Rr]egards,|\b[Ss]incerely,"
+_TITLES = "Dr|Mr|Mrs|Ms|Prof|Sir|Herr|Frau|Mme|Sra|Rev|DR|MR|MRS|MS|PROF"
 PERSON = [
-    re.compile(rf"(?:\b[Ss]igned,|\bSIGNED,|\b[Tt]hanks to|\bTHANKS TO|\bI spoke with|\bI SPOKE WITH|\b[Aa]sk for|\bASK FOR|\b[Cc]omplaint by|\bCOMPLAINT BY|\b[Dd]ear|\b[Aa]ttn:?|\b[Rr]egards,|\b[Ss]incerely,) {TITLE}(?P<n>{NAME})"),
+    re.compile(rf"(?:{_OPENINGS}) {TITLE}(?P<n>{NAME})"),
     re.compile(rf"(?<![\w.-])(?P<n>{NAME})(?= (?:resigned from the panel|RESIGNED FROM THE PANEL))"),
-    re.compile(rf"\b(?:Dr|Mr|Mrs|Ms|Prof|Sir|Herr|Frau|Mme|Sra|Rev|DR|MR|MRS|MS|PROF)\.? (?P<n>{NAME})"),
+    re.compile(rf"\b(?:{_TITLES})\.? (?P<n>{NAME})"),
 ]
 # Family names that open a Chinese name here; single ones first.
 _FAMILY = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林刁钟徐邱骆高夏蔡田樊胡凌霍虞万支柯昝管卢莫经房裘缪干解应宗丁宣贲邓郁单杭洪包诸左石崔吉钮龚程嵇邢滑裴陆荣翁荀羊於惠甄曲家封芮羿储靳汲邴糜松井段富巫乌焦巴弓牧隗山谷车侯宓蓬全郗班仰秋仲伊宫宁仇栾暴甘钭厉戎祖武符刘景詹束龙叶幸司韶郜黎蓟薄印宿白怀蒲邰从鄂索咸籍赖卓蔺屠蒙池乔阴鬱胥能苍双闻莘党翟谭贡劳逄姬申扶堵冉宰郦雍郤璩桑桂濮牛寿通边扈燕冀郏浦尚农温别庄晏柴瞿阎充慕连茹习宦艾鱼容向古易慎戈廖庾终暨居衡步都耿满弘匡国文寇广禄阙东欧殳沃利蔚越夔隆师巩厍聂晁勾敖融冷訾辛阚那简饶空曾毋沙乜养鞠须丰巢关蒯相查后荆红游竺权逯盖益桓公佟冼"
@@ -88,7 +90,7 @@ PERSON_CN = [
     re.compile(rf"投资人(?P<n>[{_FAMILY}][一-鿿]{{1,2}}?)(?=表示不解|表示|称|说)"),
     re.compile(rf"(?P<n>[{_FAMILY}][一-鿿]{{1,2}}?)(?=女士|先生|小姐|老师|教授)"),
 ]
-_CUE = re.compile(r"[@\d]|\b(?:at|AT)\b|\(at\)|\[at\]|[Ss]igned|SIGNED|[Tt]hanks|THANKS|spoke|SPOKE|[Aa]sk for|ASK FOR|[Cc]omplaint|COMPLAINT|resigned|RESIGNED|Dr|DR|Mr|MR|Ms|MS|Prof|PROF|[Dd]ear|[Aa]ttn|[Rr]egards|联系人|联络人|收件人|经办人|署名|投资人|女士|先生|小姐|老师|教授")
+_CUE = re.compile(rf"{_OPENINGS}|{_TITLES}|[@\d]|\b(?:at|AT)\b|\(at\)|\[at\]|[Ss]igned|SIGNED|[Tt]hanks|THANKS|spoke|SPOKE|[Aa]sk for|ASK FOR|[Cc]omplaint|COMPLAINT|resigned|RESIGNED|Dr|DR|Mr|MR|Ms|MS|Prof|PROF|[Dd]ear|[Aa]ttn|[Rr]egards|联系人|联络人|收件人|经办人|署名|投资人|女士|先生|小姐|老师|教授")
 
 
 def key_of(item: str) -> str:
