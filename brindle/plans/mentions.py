@@ -10,6 +10,7 @@ from brindle.session import checkpoint, table
 
 
 PATTERN_TICKERS = 5_000  # a registry has a few hundred numeric ones
+HANDLES = 100_000
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
@@ -130,7 +131,11 @@ def sanitize_text(spark, root):
     numbers = [r["ticker"] for r in numeric_tickers(spark, root).where("length(ticker) >= 6").limit(PATTERN_TICKERS + 1).collect()]
     if len(numbers) > PATTERN_TICKERS:
         raise ValueError("too many numeric tickers for one pattern")
-    return table(spark, root, "messages").where("text is not null").select(F.col("id").alias("message_id"), T.sanitise(F.col("text"), numbers).alias("text"))
+    names = checkpoint(handle_map(spark, root))
+    if names.limit(HANDLES + 1).count() > HANDLES:
+        raise ValueError("too many handles for one map")
+    handles = names.agg(F.map_from_entries(F.collect_list(F.struct("handle", "company_name"))).alias("handles"))
+    return table(spark, root, "messages").where("text is not null").crossJoin(F.broadcast(handles)).select(F.col("id").alias("message_id"), T.sanitise(F.col("text"), numbers, F.col("handles")).alias("text"))
 
 
 def queries():
