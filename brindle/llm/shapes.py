@@ -1,171 +1,273 @@
 """Pages that are stuffed keywords, product tags or lists of links rather than sentences.
 
 Lines are cut into units at list separators and ends of sentences, and each unit is reduced to a shape: its kind, a bucket of
-its word count, the pattern of its capitals, the separator after it and its links. Kinds of sentence shapes have function words
-(or are long and varied); code, logs and data have shapes of their own, and only the rest counts as stuffing: links with few
-words around them, hash tags, products and bare key words. A page is flagged when stuffing is most of its characters, is made
-of few shapes, and repeats itself or consists of links, tags or products; a few links or one short list in an answer don't
-suffice. Shapes are grouped over the whole crawl by `shape_groups`.
-
-Cases: null, empty and blank texts are no case; very long texts are processed whole; repeated rows give repeated results.
+its word count, which of its first words are capital, the separator after it, its links, and how much of its vocabulary recurs
+around it. No word is looked up: a sentence brings new words wherever it stands, while stuffing draws on a few key words again
+and again, with or without function words strewn in. Recurrence is the share of words that occur twice within SPAN words,
+averaged with the share that occur three times: near one for stuffing, half as much for nearly all prose. It is taken by run of
+units, hence doesn't depend on the length of the page, nor on an honest opening before it.
+
+The non-sentence shapes are links with few words around them, hash tags, products (a stock code and a price) and key words
+(units whose neighbourhood recurs by RECURS or more). Code, logs and data have shapes of their own. Shapes are grouped by page;
+a page is flagged when non-sentence shapes have SHARE of its characters, and FEW of them DOMINANT of these. A few links or one
+short list in an answer don't suffice. `shape_groups` groups the shapes of the whole crawl.
+
+All steps are array operations on the code points of a batch; no page is looped over. Cases: null, empty and blank texts are no
+case; very long texts are processed whole; repeated rows give repeated results; a sentence that stands two to four times in a
+page (a quotation) counts once.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from brindle.llm import codepoints as C
+from brindle.llm.nearwords import mix, words
 from brindle.session import widened
 
-SHARE, UNITS, FEW, DOMINANT = 0.7, 8, 6, 0.6
-
-# Words that sentences of English, German and Spanish can hardly do without, and characters of Chinese ones.
-FUNCTION = frozenset(
-    "a an the of to in on at is are was were be been it its this that these those with for from by as and or but not if then than so we i you they he she my our your their there here do does did has have had can could will would should may might no only about into over after before when while because since who which what how why just also very more most some any each every "
-    "der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war im in am an auf aus bei mit nach von vor zu zum zur für über unter durch sich ich wir sie er es man mein unser wenn dass weil denn sonst siehe etwa noch nur auch wie als was "
-    "el la los las un una unos unas de del en con por para que se es son fue al lo le su sus mi nuestro nuestra y o pero no si cuando porque como más sin sobre este esta hasta desde unas muy ya".split()
-)
-FUNCTION_ZH = frozenset("的了是在会么吗把被还后就时不我你他她它们这那和与或但也都很从到对为着过之其")
-_LINK = re.compile(r"\[url=[^\]\s]*\][^\[]*\[/url\]|<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\])]+", re.I)
-_FENCE = re.compile(r"```.*?(?:```|\Z)|<pre>.*?(?:</pre>|\Z)|<code>.*?(?:</code>|\Z)|\{code[^}]*\}.*?(?:\{code\}|\Z)|\[code\].*?(?:\[/code\]|\Z)", re.S | re.I)
-_CODE_LINE = re.compile(r"^\s*(?:\$ |>>> |\d{4}-\d\d-\d\d[ T]\d\d:\d\d|import |from \w+ import|def |class |return\b|for .*[:{]$|if .*[:{]$|while .*[:{]$|yield |SELECT |FROM |WHERE |GROUP BY|ORDER BY|HAVING |INSERT |UPDATE |const |let |var |function |await |try|catch|at \w+[.(]|Traceback|File \"|[}\])]+;?$|//|#include|<\w+[^>]*>$)|[{}]\s*$|^[^;]*[=(][^;]*;\s*$|\w\(.*\)|=>|==|\w_\w+ *[=:] ")
-_UNIT = re.compile(r"(?:[,;|•·、，；/]|&middot;|&bull;|>>|\s[-–—*]\s|(?<=[.!?。！？])(?=\s|$|[一-鿿]))+")
-_WORD = re.compile(r"[一-鿿]+|[^\W\d_一-鿿]+")
-_IDENTIFIER = re.compile(r"[A-Za-z]+_[A-Za-z_]+")
-
-
-def _bucket(n: int) -> str:
-    return str(n) if n < 4 else "4-6" if n < 7 else "7-12" if n < 13 else "13+"
-
-
-def _capitals(words: list[str]) -> str:
-    return "".join("A" if w.isupper() and len(w) > 1 else "Aa" if w[:1].isupper() else "a" for w in words[:4])
-
-
-def unit_kind(text: str, words: list[str], links: int, tags: int) -> str:
-    """sentence, code, data, link, tag, product or key (words) of a unit without the links' own text."""
-    han = [c for w in words for c in w if "一" <= c <= "鿿"]
-    latin = [w.lower() for w in words if not "一" <= w[0] <= "鿿"]
-    little = len(latin) + len(han) / 2 <= 4
-    if links and little:
-        return "link"
-    if tags and tags * 2 >= len(words):
-        return "tag"
-    if _IDENTIFIER.search(text):
-        return "sentence" if sum(w in FUNCTION for w in latin) * 8 >= len(latin) > 3 or len(han) > 4 else "code"
-    if re.search(r"\b[A-Z]{2,5}-?\d{3,}\b", text) and re.search(r"\d+[.,]\d\d\b", text):
-        return "product"
-    if sum(c.isdigit() for c in text) * 2 > len(text.strip()) or not words:
-        return "data"
-    if len(han) >= 6 and sum(c in FUNCTION_ZH for c in han) * 16 >= len(han):
-        return "sentence"
-    if latin:
-        share = sum(w in FUNCTION for w in latin) / len(latin)
-        if share >= 0.12 and len(latin) > 2 or len(latin) > 1 and share >= 0.5:
-            return "sentence"
-        if len(latin) >= 5 and len(set(latin)) == len(latin) and text.rstrip()[-1:] in ".!?" and text.lstrip()[:1].isupper():
-            return "sentence"
-    return "key"
-
-
-def units(text: str) -> Iterator[tuple[str, str, int, int, list[str]]]:
-    """(kind, shape, characters, links, words) of every unit of a page."""
-    at = 0
-    parts: list[tuple[bool, str]] = []
-    for m in _FENCE.finditer(text):
-        parts += [(False, text[at : m.start()]), (True, m.group())]
-        at = m.end()
-    parts.append((False, text[at:]))
-    for code, part in parts:
-        if code:
-            if part.strip():
-                yield "code", "code", len(part), 0, []
-            continue
-        for line in _lines(part):
-            if not line.strip():
-                continue
-            if line.startswith(("    ", "\t    ")) or _CODE_LINE.search(line) and not _LINK.search(line):
-                if len(_WORD.findall(line)) < 4 or sum(w.lower() in FUNCTION for w in _WORD.findall(line)) * 6 < len(_WORD.findall(line)):
-                    yield "code", "code", len(line), 0, []
-                    continue
-            found: list[str] = []
-
-            def hide(m: re.Match) -> str:
-                found.append(m.group())
-                return " \x00 "
-
-            plain = _LINK.sub(hide, line) if "://" in line or "www." in line or "](" in line else line
-            used, last = 0, 0
-            cuts = [*_UNIT.finditer(plain), None]
-            for m in cuts:
-                piece = plain[last : m.start() if m else len(plain)]
-                last = m.end() if m else last
-                n = piece.count("\x00")
-                size = len(piece.strip(" \x00")) + sum(map(len, found[used : used + n])) + (len(m.group()) if m else 0)
-                labels = [re.sub(r"(?:https?://|www\.)[^\s<>\])]+|</?a[^>]*>|\[/?url[^\]]*\]", " ", x) for x in found[used : used + n]]
-                used += n
-                words = _WORD.findall(piece)
-                if not words and not n and not piece.strip():
-                    continue
-                tags = piece.count("#")
-                kind = unit_kind(piece.replace("\x00", " "), words, n, tags)
-                mark = m.group().strip()[:1] if m and m.group().strip() else ""
-                yield kind, f"{kind} {_bucket(len(words))} {_capitals(words)} {mark} {min(n, 2)}", size, n, words + [w for x in labels for w in _WORD.findall(x)]
-
-
-def _lines(part: str) -> Iterator[str]:
-    """Lines; runs of lines of one or two plain words are one line, as a text broken at every word is."""
-    run: list[str] = []
-    for line in re.split(r"[\r\n]+|<p>|<br ?/?>|</p>", part):
-        if line.strip() and len(line.split()) <= 2 and len(line) < 40 and not _LINK.search(line) and not line.startswith("    "):
-            run.append(line.strip())
-            continue
-        if run:
-            yield " ".join(run)
-            run = []
-        yield line
-    if run:
-        yield " ".join(run)
-
-
-STUFFING = ("link", "tag", "product", "key")
+SHARE, RECURS, SPAN, FEW, DOMINANT, WORDS, UNITS = 0.7, 0.65, 40, 8, 0.6, 12, 4
+KINDS = ("sentence", "code", "data", "link", "tag", "product", "key")
+SENTENCE, CODE, DATA, LINK, TAG, PRODUCT, KEY = range(7)
+ROWS = 2000  # pages handled at once: bounds the arrays, not the pages
+
+_BREAK = r"(?i)\r\n?|</?p>|<br ?/?>"
+_FENCE = r"(?is)```.*?(?:```|\z)|<pre>.*?(?:</pre>|\z)|<code>.*?(?:</code>|\z)|\{code[^}]*\}.*?(?:\{code\}|\z)|\[code\].*?(?:\[/code\]|\z)"
+_LINK = r"(?i)\[url=[^\]\s]*\][^\[]*\[/url\]|<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\])]+"
+_STOCK, _PRICE, _ENTITY = r"\b[A-Z]{2,5}-?\d{3,}\b", r"\b\d+[.,]\d\d\b", r"&[A-Za-z]+;"
+# Classes of characters; marks stand for what was taken out before.
+OTHER, LETTER, HAN, DIGIT, SPACE, NEWLINE, LINK_MARK, STOCK_MARK, PRICE_MARK, LIST, STOP, STOP_CN, SYMBOL, HASH, DASH = range(15)
+_BUCKETS = np.array([0, 1, 2, 3, 4, 4, 4, *[5] * 6, 6], np.int64)
+_BUCKET_NAMES = ("0", "1", "2", "3", "4-6", "7-12", "13+")
+
+
+@functools.lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of every code point, and whether it is a capital."""
+    import unicodedata
+
+    kind, capital = np.zeros(C.LIMIT, np.uint8), np.zeros(C.LIMIT, bool)
+    for c in range(0x3400):
+        category = unicodedata.category(chr(c))
+        kind[c] = LETTER if category[0] in "LM" else DIGIT if category[0] == "N" else SPACE if category[0] == "Z" else OTHER
+        capital[c] = category in ("Lu", "Lt")
+    kind[0x3400:] = HAN
+    kind[0xD800:0xF900], kind[0xFE00:0xFFFF] = OTHER, OTHER
+    kind[0xAC00:0xD7A4] = LETTER
+    for marks, k in (("\n", NEWLINE), ("\t ", SPACE), ("\x01", LINK_MARK), ("\x02", STOCK_MARK), ("\x03", PRICE_MARK), (",;|•·、，；/>", LIST), (".!?", STOP), ("。！？", STOP_CN), ("_={}()<$\\`[]", SYMBOL), ("#", HASH), ("-–—*", DASH)):
+        kind[[ord(c) for c in marks]] = k
+    return kind, capital
+
+
+class Units:
+    """Units of a batch of texts: row, kind, shape, characters; and the characters of every row, code included."""
+
+    def __init__(self, column: pa.Array) -> None:
+        text = column.cast(pa.large_string()).fill_null("")
+        self.n = len(text)
+        length = lambda t: np.asarray(pc.utf8_length(t)).astype(np.int64)
+        text = pc.replace_substring_regex(text, pattern=_BREAK, replacement="\n")
+        before = length(text)
+        text = pc.replace_substring_regex(text, pattern=_FENCE, replacement="\n")
+        self.code = before - length(text)
+        before = length(text)
+        text = pc.replace_substring_regex(text, pattern=_LINK, replacement="\x01")
+        links = np.asarray(pc.count_substring(text, "\x01")).astype(np.int64)
+        each_link = 1 + (before - length(text)) / np.maximum(links, 1)
+        for pattern, mark in ((_STOCK, "\x02"), (_PRICE, "\x03"), (_ENTITY, "|")):
+            text = pc.replace_substring_regex(text, pattern=pattern, replacement=mark)
+        self._cut(*C.decode(text), each_link)
+
+    def _cut(self, points: np.ndarray, rows: np.ndarray, each_link: np.ndarray) -> None:
+        classes, capitals = _classes()
+        if not len(points):
+            self.row = self.kind = self.shape = self.words = np.zeros(0, np.int64)
+            self.size, self.total = np.zeros(0), self.code.astype(float)
+            return
+        small = np.minimum(points, C.LIMIT - 1)
+        cls = np.where(points < C.LIMIT, classes[small], HAN)
+        row = C._row_of(rows, len(points))
+        head = np.concatenate([[True], row[1:] != row[:-1]])
+        after = np.concatenate([cls[1:], [NEWLINE]])
+        after[np.concatenate([head[1:], [True]])] = NEWLINE
+        ahead = np.concatenate([[NEWLINE], cls[:-1]])
+        ends = (cls == NEWLINE) | (cls == LIST) | (cls == STOP_CN) | ((cls == STOP) & ((after >= SPACE) | (after == HAN) | (after == OTHER)) & (after != SYMBOL)) | ((cls == DASH) & (after == SPACE) & ((ahead == SPACE) | (ahead == NEWLINE)))
+        start = np.flatnonzero(head | np.concatenate([[True], ends[:-1]]))
+        line_start = np.flatnonzero(head | (ahead == NEWLINE))
+        weight = np.ones(len(points))
+        weight[cls == LINK_MARK] = each_link[row[cls == LINK_MARK]]
+        weight[cls == STOCK_MARK], weight[cls == PRICE_MARK] = 9, 5
+        unit = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(points))))
+        line = np.repeat(np.arange(len(line_start)), np.diff(np.append(line_start, len(points))))
+        units, lines = len(start), len(line_start)
+        per_unit = lambda mask: np.bincount(unit[mask], minlength=units)
+        per_line = lambda mask: np.bincount(line[mask], minlength=lines)
+
+        # words: plain ones, ideographs as half a word, and those with digits or underscores
+        h, _, first, last = words(points, rows)
+        odd = np.concatenate([[0], np.cumsum((cls == DIGIT) | (points == 0x5F))])
+        plain = odd[last] == odd[first]
+        number = odd[last] - odd[first] == last - first
+        han = cls[first] == HAN
+        value = np.where(han, 0.5, 1.0)
+        of, of_line = unit[first], line[first]
+        n_words = np.bincount(of[plain], weights=value[plain], minlength=units)
+        all_words = np.bincount(of, weights=value, minlength=units)
+
+        # kinds that don't depend on the words around
+        spaces = per_unit((cls == SPACE) | (cls == NEWLINE))
+        marks = per_unit((cls == LINK_MARK) | (cls == STOCK_MARK) | (cls == PRICE_MARK))
+        chars, letters = np.diff(np.append(start, len(points))), per_unit((cls == LETTER) | (cls == HAN))
+        n_links, tags, digits = per_unit(cls == LINK_MARK), per_unit(cls == HASH), per_unit(cls == DIGIT)
+        line_words = np.bincount(of_line[plain], weights=value[plain], minlength=lines)
+        strange = np.bincount(of_line[~plain & ~number], minlength=lines) + per_line(cls == SYMBOL)
+        indent = (points[line_start] == 9) | np.all([points[np.minimum(line_start + k, len(points) - 1)] == 32 for k in range(4)], axis=0) & (np.diff(np.append(line_start, len(points))) > 4)
+        marked = per_line((cls == LINK_MARK) | (cls == HASH)) + np.minimum(per_line(cls == STOCK_MARK), per_line(cls == PRICE_MARK))
+        code_line = ((strange * 2 >= line_words) & (strange > 0) | indent & (strange * 8 >= line_words)) & (marked == 0)
+        goods = np.minimum(per_line(cls == STOCK_MARK), per_line(cls == PRICE_MARK)) > 0
+        at_line = line[start]
+        kind = np.full(units, SENTENCE)
+        kind[(all_words == 0) & (marks == 0) | (digits * 2 > chars - spaces)] = DATA
+        kind[code_line[at_line]] = CODE
+        kind[goods[at_line] & (line_words[at_line] <= 10 * np.maximum(1, per_line(cls == STOCK_MARK)[at_line]))] = PRODUCT
+        kind[(tags > 0) & (tags * 2 >= all_words)] = TAG
+        kind[(n_links > 0) & (n_words <= 4 * n_links)] = LINK
+        empty = (letters + digits + marks + tags) == 0
+
+        # recurrence among the SPAN words around, over the plain words of what may be sentences
+        use = plain & (kind[of] == SENTENCE)
+        word_row, word_unit, word_hash, word_value = row[first][use], of[use], h[use], value[use]
+        count = np.bincount(word_unit, weights=word_value, minlength=units)
+        if len(word_hash):
+            heads = np.flatnonzero(np.diff(word_unit, prepend=-1))
+            place = np.arange(len(word_unit)) - np.repeat(heads, np.diff(np.append(heads, len(word_unit))))
+            chain = np.add.reduceat(mix(word_hash + place.astype(np.uint64)), heads)
+            which = word_unit[heads]
+            key = mix(chain ^ mix(row[start][which].astype(np.uint64)))
+            _, original, same, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            quoted = (count[which] >= 5) & (times[same] >= 2) & (times[same] <= 4) & (original[same] != np.arange(len(which)))
+            origin = np.arange(units)
+            origin[which[quoted]] = which[original[same[quoted]]]
+            keep = origin[word_unit] == word_unit
+            word_row, word_unit, word_hash, word_value = (x[keep] for x in (word_row, word_unit, word_hash, word_value))
+            place = np.cumsum(word_value)
+            order = np.lexsort((word_hash, word_row))
+            sorted_hash, sorted_row, sorted_place = word_hash[order], word_row[order], place[order]
+            near = lambda k: (sorted_hash[k:] == sorted_hash[:-k]) & (sorted_row[k:] == sorted_row[:-k]) & (sorted_place[k:] - sorted_place[:-k] <= SPAN)
+            again, thrice = near(1), near(2)
+            recurs = np.zeros((2, len(order)))
+            recurs[0, order[1:][again]] = recurs[0, order[:-1][again]] = 0.5
+            for k in range(3):  # a word that occurs thrice within the span, whichever of the three it is
+                recurs[1, order[k : len(order) - 2 + k][thrice]] = 0.5
+            recurs = recurs.sum(0)
+            up = np.concatenate([[0], np.cumsum(recurs * word_value)])
+            total = np.concatenate([[0], np.cumsum(word_value)])
+            heads = np.flatnonzero(np.diff(word_unit, prepend=-1))
+            tails = np.append(heads[1:], len(word_unit))
+            row_heads = np.flatnonzero(np.diff(word_row, prepend=-1))
+            row_tails = np.append(row_heads[1:], len(word_row))
+            in_row = np.searchsorted(row_heads, heads, "right") - 1
+            margin = SPAN // 4
+            a, b = np.maximum(heads - margin, row_heads[in_row]), np.minimum(tails + margin, row_tails[in_row])
+            ratio = np.full(units, -1.0)
+            ratio[word_unit[heads]] = (up[b] - up[a]) / (total[b] - total[a])
+            ratio = ratio[origin]
+        else:
+            ratio = np.full(units, -1.0)
+        kind[(kind == SENTENCE) & (ratio >= RECURS)] = KEY
+        self.ratio = ratio
+
+        # shapes: kind, words, capitals, separator, links, recurrence
+        big = capitals[small[first]]
+        nth = np.arange(len(of)) - np.repeat(np.flatnonzero(np.diff(of, prepend=-1)), np.diff(np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)))) if len(of) else of
+        lead = (nth < 4) & ~han
+        first_big = np.bincount(of[lead & (nth == 0) & big], minlength=units)
+        rest_big = np.bincount(of[lead & (nth > 0) & big], minlength=units)
+        pattern = np.minimum(first_big + 2 * (rest_big > 0), 3)  # the first word, and any of the next three
+        mark = np.append(start[1:], len(points)) - 1
+        sep = np.where(ends[mark] & (cls[mark] != NEWLINE), np.minimum(points[mark], 0x1FFFF), 0).astype(np.int64)
+        bucket = _BUCKETS[np.minimum(all_words.astype(np.int64), len(_BUCKETS) - 1)]
+        level = np.clip((ratio * 4).astype(np.int64) + (ratio >= 0), 0, 4)
+        shape = ((((kind.astype(np.int64) * 8 + bucket) * 4 + pattern) * 4 + np.minimum(n_links, 2)) * 8 + level) << 17 | sep
+        some = ~empty
+        self.row, self.kind, self.shape = row[start][some], kind[some], shape[some]
+        self.size = np.add.reduceat(weight, start)[some]
+        self.words = np.maximum(n_words, marks + tags)[some]
+        self.ratio = ratio[some]
+        self.total = np.bincount(self.row, weights=self.size, minlength=self.n) + self.code
+
+
+def shape_name(shape: int) -> str:
+    """Readable form: kind, words, capitals, separator, links, quarter of recurrence."""
+    sep, rest = shape & 0x1FFFF, shape >> 17
+    rest, level = divmod(rest, 8)
+    rest, links = divmod(rest, 4)
+    rest, pattern = divmod(rest, 4)
+    kind, bucket = divmod(rest, 8)
+    return " ".join([KINDS[kind], _BUCKET_NAMES[bucket], ("aa", "Aa", "aA", "AA")[pattern], chr(sep) if sep else "-", str(links), str(level)])
+
+
+def units(text: str) -> Iterator[tuple[str, str, float, float]]:
+    """(kind, shape, characters, words) of every unit of one page, in order."""
+    u = Units(pa.array([text], pa.string()))
+    for kind, shape, size, n in zip(u.kind.tolist(), u.shape.tolist(), u.size.tolist(), u.words.tolist()):
+        yield KINDS[kind], shape_name(shape), size, n
 
 
 def judge(text: str) -> tuple[bool, float, str]:
-    """(flagged, share of stuffing, its most common shape) of a page."""
-    mass, shapes, count, words, total = Counter(), Counter(), Counter(), [], 0
-    for kind, shape, size, links, ws in units(text):
-        total += size
-        mass[kind] += size
-        if kind in STUFFING:
-            shapes[shape] += size
-            count[kind] += max(1, links, len(ws) // 4 if kind in ("key", "tag") else 1)
-            words += [w.lower() for w in ws]
-    stuffed = sum(mass[k] for k in STUFFING)
-    if not total or not stuffed:
-        return False, 0.0, ""
-    share = stuffed / total
-    few = sum(n for _, n in shapes.most_common(FEW)) >= DOMINANT * stuffed
-    repeats = len(words) >= 12 and len(set(words)) <= 0.75 * len(words)
-    strong = (mass["link"] + mass["tag"] + mass["product"]) * 2 >= stuffed
-    enough = sum(count.values()) >= (4 if strong else UNITS)
-    return share >= SHARE and enough and few and (repeats or strong), share, shapes.most_common(1)[0][0]
+    """(flagged, share of stuffing, its most common shape) of one page."""
+    flagged, share, top = judge_pages(pa.array([text], pa.string()))
+    return bool(flagged[0]), float(share[0]), shape_name(int(top[0])) if top[0] >= 0 else ""
+
+
+def judge_pages(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each page is flagged, its share of stuffing, and its most common non-sentence shape (-1: none)."""
+    u = Units(column)
+    n = u.n
+    stuff = u.kind >= LINK
+    mass = np.bincount(u.row[stuff], weights=u.size[stuff], minlength=n)
+    share = mass / np.maximum(u.total, 1)
+    strong = np.bincount(u.row[stuff], weights=u.size[stuff] * (u.kind[stuff] != KEY), minlength=n) * 2 >= mass
+    amount = np.bincount(u.row[stuff], weights=u.words[stuff], minlength=n)
+    # characters of each shape of a page, largest first
+    top = np.full(n, -1, np.int64)
+    few = np.zeros(n)
+    if stuff.any():
+        order = np.lexsort((u.shape[stuff], u.row[stuff]))
+        r, s, size = u.row[stuff][order], u.shape[stuff][order], u.size[stuff][order]
+        heads = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])]))
+        r, s, size = r[heads], s[heads], np.add.reduceat(size, heads)
+        order = np.lexsort((-size, r))
+        r, s, size = r[order], s[order], size[order]
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        rank = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+        few = np.bincount(r[rank < FEW], weights=size[rank < FEW], minlength=n)
+        top[r[first]] = s[first]
+    enough = amount >= np.where(strong, UNITS, WORDS)
+    return (mass > 0) & (share >= SHARE) & enough & (few >= DOMINANT * mass), share, top
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, ROWS):
+            yield b.slice(start, ROWS)
 
 
 def stuffed_pages(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, share, shape) of the pages that are mostly stuffing. One pass, no shuffle."""
+    """(key, share, shape) of the pages that are mostly stuffing. One pass."""
     flat = df.select(F.col(key).alias("key"), F.col(column).cast("string").alias("text")).where("text is not null")
     kind = dict(flat.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            verdicts = [judge(t) for t in b.column("text").to_pylist()]
-            at = [i for i, v in enumerate(verdicts) if v[0]]
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array([verdicts[i][1] for i in at], pa.float64()), pa.array([verdicts[i][2] for i in at], pa.string())], names=["key", "share", "shape"])
+        for b in _slices(batches):
+            flagged, share, top = judge_pages(b.column("text"))
+            at = np.flatnonzero(flagged)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(share[at]), pa.array([shape_name(s) for s in top[at].tolist()], pa.string())], names=["key", "share", "shape"])
 
     return widened(flat).mapInArrow(run, f"key {kind}, share double, shape string")
 
@@ -174,17 +276,13 @@ def shape_groups(df: DataFrame, column: str) -> DataFrame:
     """(kind, shape, units, pages, characters) over the whole crawl; counted within each batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, pages, size = Counter(), Counter(), Counter()
-            for t in b.column(0).to_pylist():
-                seen = set()
-                for kind, shape, chars, _, _ in units(t):
-                    n[kind, shape] += 1
-                    size[kind, shape] += chars
-                    seen.add((kind, shape))
-                pages.update(seen)
-            keys = list(n)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (n, pages, size))], names=["kind", "shape", "units", "pages", "characters"])
+        for b in _slices(batches):
+            u = Units(b.column(0))
+            shapes, at, n = np.unique(u.shape, return_inverse=True, return_counts=True)
+            size = np.bincount(at, weights=u.size, minlength=len(shapes)).round().astype(np.int64)
+            pages = np.bincount(np.unique(np.stack([at, u.row], 1), axis=0)[:, 0], minlength=len(shapes)) if len(at) else np.zeros(0, np.int64)
+            names = [shape_name(s) for s in shapes.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x.split()[0] for x in names], pa.string()), pa.array(names, pa.string()), *(pa.array(x.astype(np.int64)) for x in (n, pages, size))], names=["kind", "shape", "units", "pages", "characters"])
 
     flat = df.select(F.col(column).cast("string").alias("text")).where("text is not null")
     return flat.mapInArrow(run, "kind string, shape string, units long, pages long, characters long").groupBy("kind", "shape").agg(*(F.sum(c).alias(c) for c in ("units", "pages", "characters")))
