@@ -96,7 +96,12 @@ def tables() -> dict[str, np.ndarray]:
         length[c], start[c] = len(form), len(flat)
         flat.extend(map(ord, form))
     keys = np.array(sorted(pairs), np.int64)
-    return {"kind": kind, "script": script, "twin": twin, "length": length, "start": start, "flat": np.array(flat, np.uint32), "pairs": keys, "composed": np.array([pairs[k] for k in keys.tolist()], np.uint32)}
+    composing = np.zeros(LIMIT, bool)
+    composing[keys & ((1 << 21) - 1)] = True
+    based = kind == EMOJI  # what a variation selector may follow
+    based[[*range(0x30, 0x3A), 0x23, 0x2A, 0xA9, 0xAE, 0x3030]] = True
+    changed = np.isin(kind, (SPACE, INVISIBLE, COMPAT, JOINER, SELECTOR)) | composing | (twin != np.arange(LIMIT))
+    return {"composing": composing, "based": based, "changed": changed, "kind": kind, "script": script, "twin": twin, "length": length, "start": start, "flat": np.array(flat, np.uint32), "pairs": keys, "composed": np.array([pairs[k] for k in keys.tolist()], np.uint32)}
 
 
 def decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,15 +157,16 @@ def standins(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     left, right = np.zeros(n, bool), np.zeros(n, bool)
     left[1:], right[:-1] = emoji[:-1] & after[1:], emoji[1:] & before[:-1]
     base = np.zeros(n, bool)
-    base[1:] = ((kind[:-1] == EMOJI) | ((points[:-1] >= 0x30) & (points[:-1] <= 0x39)) | np.isin(points[:-1], (0x23, 0x2A, 0xA9, 0xAE, 0x3030))) & after[1:]
+    base[1:] = _lookup(t["based"], points[:-1]) & after[1:]
     drop = (kind == INVISIBLE) | ((kind == JOINER) & ~(left & right)) | ((kind == SELECTOR) & ~base)
     found = drop | (kind == SPACE) | (kind == COMPAT)
     # marks that compose with the letter before them, invisible characters left out
     keep = np.flatnonzero(~drop)
     if (kind == MARK).any() and len(keep) > 1:
-        key = points[keep[:-1]].astype(np.int64) << 21 | points[keep[1:]]
-        hit = np.isin(key, t["pairs"]) & (row[keep[:-1]] == row[keep[1:]])
-        found[keep[1:][hit]] = True
+        at = np.flatnonzero(_lookup(t["composing"], points[keep[1:]]))
+        first, second = keep[at], keep[at + 1]
+        hit = np.isin(points[first].astype(np.int64) << 21 | points[second], t["pairs"]) & (row[first] == row[second])
+        found[second[hit]] = True
     # words of letters, marks and invisible characters that mix Latin with look-alikes
     twin = points.copy()
     other = script > LATIN
@@ -198,10 +204,14 @@ def compose(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Compose letters with the marks after them, one mark of each letter a round."""
     t = tables()
     while len(points) > 1:
-        row = _row_of(rows, len(points))
-        key = points[:-1].astype(np.int64) << 21 | points[1:]
-        at = np.searchsorted(t["pairs"], key)
-        hit = (t["pairs"][np.minimum(at, len(t["pairs"]) - 1)] == key) & (row[:-1] == row[1:])
+        second = np.flatnonzero(_lookup(t["composing"], points[1:])) + 1
+        second = second[~np.isin(second, rows)]  # a row's first has nothing before it
+        key = points[second - 1].astype(np.int64) << 21 | points[second]
+        place = np.searchsorted(t["pairs"], key)
+        fits = t["pairs"][np.minimum(place, len(t["pairs"]) - 1)] == key
+        at = np.zeros(len(points) - 1, np.int64)
+        hit = np.zeros(len(points) - 1, bool)
+        hit[second[fits] - 1], at[second[fits] - 1] = True, place[fits]
         hit[1:] &= ~hit[:-1]
         if not hit.any():
             break
@@ -213,7 +223,26 @@ def compose(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def normal_form(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The one form: nothing invisible out of place, ordinary spaces and letters, composed accents."""
+    """The one form: nothing invisible out of place, ordinary spaces and letters, composed accents.
+
+    Only rows with a code point that can change are copied and worked on.
+    """
+    lengths = np.diff(rows)
+    bad = np.diff(np.concatenate([[0], np.cumsum(_lookup(tables()["changed"], points))])[rows]) > 0
+    if not bad.any():
+        return points.astype(np.uint32), rows
+    inside = np.repeat(bad, lengths)
+    some, some_rows = _normal(points[inside], np.concatenate([[0], np.cumsum(lengths[bad])]))
+    lengths = lengths.copy()
+    lengths[bad] = np.diff(some_rows)
+    out_rows = np.concatenate([[0], np.cumsum(lengths)])
+    there = np.repeat(bad, lengths)
+    out = np.empty(len(there), np.uint32)
+    out[there], out[~there] = some, points[~inside]
+    return out, out_rows
+
+
+def _normal(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t = tables()
     _, drop, points = standins(points, rows)
     if drop.any():
