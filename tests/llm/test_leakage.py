@@ -60,8 +60,34 @@ def test_edges(spark):
     assert L.leaked_passages(d.limit(0), i).count() == 0 and L.leaked_passages(d, i.limit(0)).count() == 0
 
 
-def test_too_many_items(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEMS", 1)
-    i = spark.createDataFrame([(1, "a"), (2, "b")], "item_id long, text string")
-    with pytest.raises(ValueError):
-        L.leaked_passages(i.withColumnRenamed("item_id", "doc_id"), i)
+def test_items_in_blocks(spark, monkeypatch):
+    docs, items, _ = corpus(4)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(tuple(r) for r in L.leaked_passages(d, i).collect())
+    monkeypatch.setattr(L, "ITEMS", 5)
+    assert whole and sorted(tuple(r) for r in L.leaked_passages(d, i).collect()) == whole
+
+
+def test_subsequence_lengths_equal_alignment():
+    rng = np.random.default_rng(5)
+    for width in (5, 14, 28, 60):
+        a, b = rng.integers(0, 6, (50, width)).astype(np.uint32), rng.integers(0, 6, (50, width + 4)).astype(np.uint32)
+        got = L.subsequence_lengths(a, iter(b.T))
+        assert got.tolist() == [int((L.common_subsequence(x, y) >= 0).sum()) for x, y in zip(a, b)]
+
+
+def test_passages_with_insertions_and_omissions(spark):
+    """A paraphrase that inserts and omits words shifts all later ones; at least 0.9 of such passages are found."""
+    docs, items, _ = corpus(6)
+    rng, want = random.Random(9), set()
+    docs = [(k, t) for k, t in docs if k % 3]
+    for k in range(1000, 1060):
+        i = rng.randrange(len(items))
+        words = items[i][1].split()[:36]
+        del words[rng.randrange(8, 12)]
+        words.insert(rng.randrange(20, 26), "inserted")
+        docs.append((k, f"{docs[k % 50][1]} {' '.join(words)} {docs[k % 40][1]}"))
+        want.add((k, i))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in L.leaked_passages(d, i).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
