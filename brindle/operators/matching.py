@@ -36,14 +36,15 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def identify(messages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(message_id, canonical_code, mention, match_type, confidence): the best mention of each company that no context vetoes."""
+    """(message_id, canonical_code, mention, match_type, confidence, place): the best mention of each company that no context
+    vetoes, and the company's place in the registry."""
     hits = term_hits(prepared(messages), terms)
     vetoed = F.max((F.col("kind") == "negative").cast("int")).alias("veto")
-    grouped = hits.groupBy("message_id", "canonical_code").agg(vetoed, F.max(F.when(F.col("kind") != "negative", F.struct("confidence", F.length("keyword").alias("n"), (-F.col("term_ord")).alias("o"), F.col("keyword").alias("mention"), F.col("kind").alias("match_type")))).alias("b"))
-    return grouped.where("veto = 0 and b is not null").select("message_id", "canonical_code", "b.mention", "b.match_type", "b.confidence")
+    grouped = hits.groupBy("message_id", "canonical_code").agg(vetoed, F.max(F.when(F.col("kind") != "negative", F.struct("confidence", F.length("keyword").alias("n"), (-F.col("term_ord")).alias("o"), F.col("keyword").alias("mention"), F.col("kind").alias("match_type")))).alias("b"), F.min("place").alias("place"))
+    return grouped.where("veto = 0 and b is not null").select("message_id", "canonical_code", "b.mention", "b.match_type", "b.confidence", "place")
 
 
 def folded(matches: DataFrame) -> DataFrame:
-    """One row per message with its matches by confidence, then code."""
-    item = F.struct((-F.col("confidence")).alias("_c"), "canonical_code", "mention", "match_type", "confidence")
+    """One row per message with its matches by confidence; equal ones in the order of the registry."""
+    item = F.struct((-F.col("confidence")).alias("_c"), "place", "canonical_code", "mention", "match_type", "confidence")
     return matches.groupBy("message_id").agg(F.array_sort(F.collect_list(item)).alias("m")).select("message_id", F.transform("m", lambda x: x["canonical_code"]).alias("codes"), F.transform("m", lambda x: x["mention"]).alias("mentions"))

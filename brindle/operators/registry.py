@@ -52,25 +52,26 @@ def load_registry(companies: DataFrame, instruments: DataFrame) -> DataFrame:
 
 
 def terms(registry: DataFrame) -> DataFrame:
-    """One row per term: code, keyword, kind (alias, brand, negative, ticker), confidence, place in the company's list."""
+    """One row per term: code, keyword, kind (alias, brand, negative, ticker), confidence, its order in the company's lists, and
+    the company's place in the registry."""
     lists = [("aliases", "alias"), ("brands", "brand"), ("negative_contexts", "negative")]
-    parts = [registry.select("canonical_code", F.posexplode(c).alias("nth", "keyword"), F.lit(k).alias("kind"), F.lit(i).alias("list")) for i, (c, k) in enumerate(lists)]
-    parts.append(registry.select("canonical_code", F.lit(0).alias("nth"), F.col("ticker").alias("keyword"), F.lit("ticker").alias("kind"), F.lit(3).alias("list")))
+    parts = [registry.select("canonical_code", "place", F.posexplode(c).alias("nth", "keyword"), F.lit(k).alias("kind"), F.lit(i).alias("list")) for i, (c, k) in enumerate(lists)]
+    parts.append(registry.select("canonical_code", "place", F.lit(0).alias("nth"), F.col("ticker").alias("keyword"), F.lit("ticker").alias("kind"), F.lit(3).alias("list")))
     out = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).where("keyword <> ''")
     confidence = F.create_map(*(x for k, v in CONFIDENCE.items() for x in (F.lit(k), F.lit(v))))
-    return out.select("canonical_code", "keyword", "kind", confidence[F.col("kind")].alias("confidence"), (F.col("list") * 1000 + F.col("nth")).alias("term_ord"))
+    return out.select("canonical_code", "keyword", "kind", confidence[F.col("kind")].alias("confidence"), (F.col("list") * 1000 + F.col("nth")).alias("term_ord"), "place")
 
 
 def ticker_codes(registry: DataFrame) -> DataFrame:
-    """ticker -> code; the last code of a ticker holds."""
-    return registry.groupBy("ticker").agg(F.max("canonical_code").alias("canonical_code"))
+    """ticker -> code; the last row of the registry's order holds."""
+    return registry.groupBy("ticker").agg(F.max_by("canonical_code", F.struct("place", "canonical_code")).alias("canonical_code"))
 
 
 def handle_names(registry: DataFrame) -> DataFrame:
-    """Handle (letters and digits of a ticker, name, alias or brand) -> name of the first company that has it."""
+    """Handle (letters and digits of a ticker, name, alias or brand) -> name of the first company of the registry that has it."""
     words = F.concat(F.array("ticker", "company_name"), "aliases", "brands")
-    each = registry.select("canonical_code", "company_name", F.explode(words).alias("w")).select("canonical_code", "company_name", F.regexp_replace(F.lower("w"), "[^a-z0-9]", "").alias("handle"))
-    return each.where("length(handle) >= 2").groupBy("handle").agg(F.min_by("company_name", "canonical_code").alias("company_name"))
+    each = registry.select("place", "canonical_code", "company_name", F.explode(words).alias("w")).select("place", "canonical_code", "company_name", F.regexp_replace(F.lower("w"), "[^a-z0-9]", "").alias("handle"))
+    return each.where("length(handle) >= 2").groupBy("handle").agg(F.min_by("company_name", F.struct("place", "canonical_code")).alias("company_name"))
 
 
 def profile(name: Column, code: Column, aliases: Column) -> Column:

@@ -60,7 +60,7 @@ def nonblank_messages(spark, root):
 
 def source_backfill(spark, root):
     url = F.lower("source_url")
-    twitter = (F.col("source_type") == "unknown") & (F.contains(url, F.lit("twitter.com/")) | F.contains(url, F.lit("x.com/")) | F.contains(url, F.lit("app.")))
+    twitter = (F.col("source_type") == "unknown") & (F.contains(url, F.lit("twitter.com/")) | F.contains(url, F.lit("x.com/")))
     return table(spark, root, "messages").select(F.when(twitter, "twitter").otherwise(F.col("source_type")).alias("source_type")).groupBy("source_type").agg(F.count("*").alias("n"))
 
 
@@ -154,7 +154,7 @@ def oracle_sql():
         "heartbeat_filter": "select case when event_id % 2 = 0 then 'whole' else 'inner' end kind, count(*) n from events where not (event_id % 3 = 0 and event_id % 2 = 0) group by 1",
         "message_time": "select id, coalesce(nullif(trim(published_at), ''), received_at) message_time from messages",
         "nonblank_messages": "select id, length(text) characters from messages where trim(text) <> ''",
-        "source_backfill": "select case when source_type = 'unknown' and (contains(lower(source_url), 'twitter.com/') or contains(lower(source_url), 'x.com/') or contains(lower(source_url), 'app.')) then 'twitter' else source_type end source_type, count(*) n from messages group by 1",
+        "source_backfill": "select case when source_type = 'unknown' and (contains(lower(source_url), 'twitter.com/') or contains(lower(source_url), 'x.com/')) then 'twitter' else source_type end source_type, count(*) n from messages group by 1",
         "normalize_dedup": f"select id, {FORM} form from messages where text is not null",
         "language_dist": "select case when regexp_matches(text, '[一-鿿]') then 'cn' else 'en' end as language, count(*) n from messages where trim(text) <> '' group by 1",
         "epoch_ms": "select id, strftime(make_timestamp(published_at::bigint * 1000), '%Y-%m-%dT%H:%M:%S') iso from messages where regexp_full_match(published_at, '[0-9]{13}')",

@@ -110,7 +110,7 @@ def negative_context_veto(spark, root):
 
 
 def identify_matches(spark, root):
-    return matches(spark, root)
+    return matches(spark, root).drop("place")
 
 
 def best_mention(spark, root):
@@ -118,7 +118,7 @@ def best_mention(spark, root):
 
 
 def match_order(spark, root):
-    w = W.partitionBy("message_id").orderBy(F.desc("confidence"), "canonical_code")
+    w = W.partitionBy("message_id").orderBy(F.desc("confidence"), "place", "canonical_code")
     return matches(spark, root).select("message_id", "canonical_code", F.row_number().over(w).alias("place"))
 
 
@@ -148,17 +148,18 @@ _AUTO = """auto as (select *, trim(regexp_replace(trim(regexp_replace(coalesce(n
 aliased as (select *, list_filter([trim(coalesce(name_en, '')), trim(coalesce(name_cn, '')), case when length(plain) >= 4 and lower(plain) <> lower(coalesce(name_en, '')) then plain end], lambda x: coalesce(x, '') <> '') raw from auto),
 named as (select canonical_code, market, exchange, ticker, name_en, name_cn, list_filter(raw, lambda x, i: list_position(raw, x) = i) auto_aliases from aliased)"""
 _LAST = "last as (select * from (select *, row_number() over (partition by ticker order by market desc, exchange desc, canonical_code desc) rn from named) where rn = 1)"
-_MANUAL = f"manual as (select company_id, company_name, exchange, ticker, {_SPLIT.format(c='aliases')} aliases, {_SPLIT.format(c='brands')} brands, {_SPLIT.format(c='negative_contexts')} negative_contexts from companies)"
+_MANUAL = f"manual as (select row_number() over (order by company_id) - 1 ord, company_id, company_name, exchange, ticker, {_SPLIT.format(c='aliases')} aliases, {_SPLIT.format(c='brands')} brands, {_SPLIT.format(c='negative_contexts')} negative_contexts from companies)"
 _REG = f"""{_MASTER}, {_AUTO}, {_LAST}, {_MANUAL},
 both_ as (select coalesce(l.exchange, c.exchange) exchange, coalesce(l.ticker, c.ticker) ticker, coalesce(c.company_id, trim(regexp_replace(lower(l.canonical_code), '[^a-z0-9]+', '_', 'g'), '_')) company_id,
- coalesce(c.company_name, nullif(l.name_cn, ''), nullif(l.name_en, ''), l.ticker) company_name, list_concat(coalesce(c.aliases, []), coalesce(l.auto_aliases, [])) raw, coalesce(c.brands, []) brands, coalesce(c.negative_contexts, []) negative_contexts
+ coalesce(c.company_name, nullif(l.name_cn, ''), nullif(l.name_en, ''), l.ticker) company_name, list_concat(coalesce(c.aliases, []), coalesce(l.auto_aliases, [])) raw, coalesce(c.brands, []) brands, coalesce(c.negative_contexts, []) negative_contexts,
+ row_number() over (order by l.canonical_code is null, coalesce(l.market, ''), coalesce(l.exchange, ''), coalesce(l.ticker, c.ticker), coalesce(c.ord, 0)) place
  from last l full outer join manual c on l.ticker = c.ticker),
-registry as (select exchange || ':' || ticker canonical_code, company_id, company_name, exchange, ticker, list_filter(raw, lambda x, i: list_position(raw, x) = i) aliases, brands, negative_contexts from both_)"""
+registry as (select exchange || ':' || ticker canonical_code, company_id, company_name, exchange, ticker, list_filter(raw, lambda x, i: list_position(raw, x) = i) aliases, brands, negative_contexts, place from both_)"""
 _TERMS = f"""{_REG},
-terms as (select canonical_code, unnest(aliases) keyword, 'alias' kind, 0.98 confidence, generate_subscripts(aliases, 1) - 1 term_ord from registry
- union all select canonical_code, unnest(brands), 'brand', 0.90, 1000 + generate_subscripts(brands, 1) - 1 from registry
- union all select canonical_code, unnest(negative_contexts), 'negative', null, 2000 + generate_subscripts(negative_contexts, 1) - 1 from registry
- union all select canonical_code, ticker, 'ticker', 0.99, 3000 from registry)"""
+terms as (select canonical_code, unnest(aliases) keyword, 'alias' kind, 0.98 confidence, generate_subscripts(aliases, 1) - 1 term_ord, place from registry
+ union all select canonical_code, unnest(brands), 'brand', 0.90, 1000 + generate_subscripts(brands, 1) - 1, place from registry
+ union all select canonical_code, unnest(negative_contexts), 'negative', null, 2000 + generate_subscripts(negative_contexts, 1) - 1, place from registry
+ union all select canonical_code, ticker, 'ticker', 0.99, 3000, place from registry)"""
 _HITS = f"""{_TERMS},
 raw_texts as (select id message_id, regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288)), 'https?://[^ \\t\\n\\r]+', ' ', 'g') text from messages where trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13) || chr(160) || chr(12288)) <> ''),
 texts as materialized (select *, lower(text) low from raw_texts),
@@ -167,7 +168,7 @@ met as materialized (select t.message_id, t.text, e.* from texts t join escaped
 hits as (select * exclude (text, small, cjk, e) from met where case when cjk then true when kind = 'ticker' then regexp_matches(text, case when length(keyword) > 1 then '(^|[^A-Za-z0-9])' else '(^|[^A-Za-z0-9])\\$' end || e || '([^A-Za-z0-9]|$)') else regexp_matches(text, '(?i)(^|[^A-Za-z0-9])' || e || '([^A-Za-z0-9]|$)') end)"""
 _MATCHES = f"""{_HITS},
 kept as (select * from hits h where kind <> 'negative' and not exists (select 1 from hits n where n.kind = 'negative' and n.message_id = h.message_id and n.canonical_code = h.canonical_code)),
-matches as (select message_id, canonical_code, keyword mention, kind match_type, confidence::double confidence from (select *, row_number() over (partition by message_id, canonical_code order by confidence desc, length(keyword) desc, term_ord) rn from kept) where rn = 1)"""
+matches as (select message_id, canonical_code, keyword mention, kind match_type, confidence::double confidence, min(place) over (partition by message_id, canonical_code) place from (select *, row_number() over (partition by message_id, canonical_code order by confidence desc, length(keyword) desc, term_ord) rn from kept) where rn = 1)"""
 
 
 def oracle_sql():
@@ -178,8 +179,8 @@ def oracle_sql():
         "auto_aliases": f"with {_MASTER}, {_AUTO} select canonical_code, array_to_string(auto_aliases, '|') aliases from named",
         "registry_merge": f"with {_REG} select canonical_code, company_id, company_name, exchange, ticker, {lists} from registry",
         "term_expansion": f"with {_TERMS} select canonical_code, keyword, kind, confidence::double confidence from terms where keyword <> ''",
-        "ticker_dim": f"with {_REG} select ticker, max(canonical_code) canonical_code from registry group by ticker",
-        "handle_map": f"with {_REG}, each as (select canonical_code, company_name, regexp_replace(lower(unnest(list_concat([ticker, company_name], aliases, brands))), '[^a-z0-9]', '', 'g') handle from registry) select handle, min_by(company_name, canonical_code) company_name from each where length(handle) >= 2 group by handle",
+        "ticker_dim": f"with {_REG} select ticker, max_by(canonical_code, place) canonical_code from registry group by ticker",
+        "handle_map": f"with {_REG}, each as (select place, company_name, regexp_replace(lower(unnest(list_concat([ticker, company_name], aliases, brands))), '[^a-z0-9]', '', 'g') handle from registry) select handle, min_by(company_name, place) company_name from each where length(handle) >= 2 group by handle",
         "numeric_tickers": f"with {_REG} select ticker from registry where regexp_full_match(ticker, '[0-9]+')",
         "candidate_profile": f"with {_REG} select canonical_code, company_name || ' | ' || canonical_code || ' | aliases: ' || array_to_string(aliases[1:5], ', ') profile from registry",
         "active_by_type": "select asset_type, count(*) n from binance_tradfi_instruments where active = 1 group by asset_type",
@@ -196,6 +197,6 @@ def oracle_sql():
         "negative_context_veto": f"with {_MATCHES} select distinct message_id, canonical_code from kept",
         "identify_matches": f"with {_MATCHES} select message_id, canonical_code, mention, match_type, confidence from matches",
         "best_mention": f"with {_MATCHES} select match_type, count(*) n, count(distinct message_id) messages, sum(length(mention))::bigint characters from matches group by match_type",
-        "match_order": f"with {_MATCHES} select message_id, canonical_code, row_number() over (partition by message_id order by confidence desc, canonical_code) place from matches",
-        "folded_matches": f"with {_MATCHES} select message_id, string_agg(canonical_code, ',' order by confidence desc, canonical_code) codes, string_agg(mention, ',' order by confidence desc, canonical_code) mentions from matches group by message_id",
+        "match_order": f"with {_MATCHES} select message_id, canonical_code, row_number() over (partition by message_id order by confidence desc, matches.place, canonical_code) place from matches",
+        "folded_matches": f"with {_MATCHES} select message_id, string_agg(canonical_code, ',' order by confidence desc, place) codes, string_agg(mention, ',' order by confidence desc, place) mentions from matches group by message_id",
     }

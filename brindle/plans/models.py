@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.operators import evaluate as E, features as X
-from brindle.plans.mentions import registry
+from brindle.plans.mentions import _REG, registry
 from brindle.session import checkpoint, table
 
 
@@ -73,7 +73,6 @@ def queries():
     return {f.__name__: f for f in (structured_features, word_ngrams, char_ngrams, tfidf_word_weights, train_lr, train_gbt, score_messages, svd_features)}
 
 
-_SPLIT = "list_filter(list_transform(string_split(coalesce({c}, ''), '|'), lambda x: trim(x)), lambda x: x <> '')"
 _ESC = "regexp_replace({k}, '([!-/:-@\\[-`{{-~])', '\\\\\\1', 'g')"
 _HAS = "case when regexp_matches({k}, '[一-鿿]') then contains(lower(t), lower({k})) else contains(lower(t), lower({k})) and regexp_matches(t, '(?i)(^|[^A-Za-z0-9])' || " + _ESC + " || '([^A-Za-z0-9]|$)') end"
 _DOCS = "docs as (select message_id id, min(message_text) as text from candidate_pairs where message_text is not null group by 1)"
@@ -84,8 +83,8 @@ def oracle_sql():
     context = " or ".join(_HAS.format(k=f"'{k}'") for k in X.CONTEXT)
     alias = _HAS.format(k="k")
     return {
-        "structured_features": f"""with p as (select message_id, candidate_code code, min(source_type) source_type, regexp_replace(min(message_text), 'https?://[^ \\t\\n\\r]+', ' ', 'g') t, max(real_candidate_count) n from candidate_pairs where message_text is not null group by 1, 2),
- r as (select exchange || ':' || ticker code, any_value(ticker) ticker, any_value({_SPLIT.format(c='aliases')}) a, any_value({_SPLIT.format(c='brands')}) b, any_value({_SPLIT.format(c='negative_contexts')}) neg from companies group by 1),
+        "structured_features": f"""with {_REG}, p as (select message_id, candidate_code code, min(source_type) source_type, regexp_replace(min(message_text), 'https?://[^ \\t\\n\\r]+', ' ', 'g') t, max(real_candidate_count) n from candidate_pairs where message_text is not null group by 1, 2),
+ r as (select canonical_code code, any_value(ticker) ticker, any_value(aliases) a, any_value(brands) b, any_value(negative_contexts) neg from registry group by 1),
  j as (select p.*, r.ticker, list_concat(a, b) terms, neg from p join r on r.code = p.code),
  h as (select message_id, code, count(*) hits, min(length(k)) shortest from (select message_id, code, t, unnest(terms) k from j) where {alias} group by 1, 2), v as (select message_id, code from (select message_id, code, t, unnest(neg) k from j) where {alias} group by 1, 2)
  select j.message_id, j.code, regexp_matches(t, '\\$' || ticker || '([^A-Za-z0-9]|$)')::int::double has_dollar_ticker, regexp_matches(t, case when length(ticker) > 1 then '(^|[^A-Za-z0-9])' else '(^|[^A-Za-z0-9])\\$' end || ticker || '([^A-Za-z0-9]|$)')::int::double has_bare_ticker,

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import dataset as D, evaluate as E, registry as R, store as S
-from brindle.plans.events import FORM
-from brindle.plans.mentions import matches, registry
+from brindle.plans.events import _WS, FORM
+from brindle.plans.mentions import _MATCHES, matches, registry
 from brindle.session import bounded, checkpoint, table
 
 
@@ -271,8 +271,9 @@ def queries():
 
 
 _P = "pairs as (select message_id, candidate_code code, max(label) label, min(split) split, min(source_type) source_type, min(message_text) message_text, max(real_candidate_count) real_count from candidate_pairs group by message_id, candidate_code)"
-_SETS = f"""{_P}, correct as (select message_id, code from pairs where label = 1), loc as (select message_id, code from pairs where contains(message_text, split_part(code, ':', -1))),
-reg as (select distinct exchange || ':' || ticker code, company_name from companies), up as (select distinct message_id, stocker_code code from upstream_candidates where stocker_code in (select code from reg))"""
+_SETS = f"""{_MATCHES}, {_P}, correct as (select message_id, code from pairs where label = 1), loc as materialized (select message_id, canonical_code code from matches),
+reg as (select distinct canonical_code code, company_name from registry), typed as (select max_by(canonical_code, place) code, ticker sign from registry group by ticker union select canonical_code, canonical_code from registry),
+up as materialized (select distinct u.message_id, t.code from upstream_candidates u join typed t on t.sign = upper(trim(u.stocker_code, {_WS})))"""
 _LABELS = f"{_SETS}, tagged as (select message_id, code, 0 p from correct union all select message_id, code, 1 from loc union all select message_id, code, 2 from up), labelled as (select message_id, code, (min(p) = 0)::int label, case min(p) when 1 then 'hard_rule' when 2 then 'hard_upstream' else '' end negative_type from tagged group by message_id, code)"
 _UNITS = f"{_P}, m as (select message_id, min(message_text) t, count(*) pairs from pairs group by message_id), units as (select t, min(m.message_id) \"cluster\", sum(m.pairs) pairs, max(x.created_at) at_ from m join messages x on x.id = m.message_id group by t)"
 _SCORED = f"{_P}, scored as (select *, ((message_id * 31 + length(code) * 17 + label * 400) % 1000) / 1000.0::double score from pairs)"
