@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import events, mentions, models, pairs, records, streams
+from brindle.plans import events, mentions, models, pairs, records, reviews, streams
 
 FLAGSHIP = "identify_matches"
-_PARTS = [mentions, events, pairs, models, streams, records]
+_PARTS = [mentions, events, pairs, reviews, models, streams, records]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -46,8 +46,11 @@ def event_candidates(spark, root):
 
 
 def heartbeat_filter(spark, root):
-    e = table(spark, root, "events").select("event_id", F.concat(F.lit('{"type":"'), F.when(F.col("event_id") % 3 == 0, "ping").otherwise("push"), F.lit('","data":'), F.when(F.col("event_id") % 2 == 0, F.lit("null")).otherwise(F.lit('{"a":1}')), F.lit("}")).alias("raw"))
-    return I.envelope_events(e, "event_id", "raw").groupBy(F.col("event").alias("event")).agg(F.count("*").alias("n")).select(F.when(F.col("event").startswith('{"a"'), "inner").otherwise("whole").alias("kind"), "n").groupBy("kind").agg(F.sum("n").alias("n"))
+    """Frames made of the events: pings and pushes without data, with null, a text or an object as data."""
+    kind, data = F.when(F.col("event_id") % 3 == 0, "ping").otherwise("push"), F.col("event_id") % 4
+    rest = F.when(data == 0, "").when(data == 1, ',"data":null').when(data == 2, ',"data":"text"').otherwise(',"data":{"a":1}')
+    e = table(spark, root, "events").select("event_id", F.concat(F.lit('{"type":"'), kind, F.lit('"'), rest, F.lit("}")).alias("raw"))
+    return I.envelope_events(e, "event_id", "raw").groupBy(F.when(F.col("event").startswith('{"a"'), "inner").otherwise("whole").alias("kind")).agg(F.count("*").alias("n"))
 
 
 def message_time(spark, root):
@@ -131,14 +134,21 @@ def queries():
 
 
 _EVENTS = """raw as (select id message_id, raw_event_json::json j from messages where json_valid(raw_event_json)),
-whole as (select message_id, case json_type(j) when 'ARRAY' then j when 'OBJECT' then case when json_type(j, '$.data') in ('OBJECT', 'ARRAY') then j->'$.data' when json_type(j, '$.result') in ('OBJECT', 'ARRAY') then j->'$.result' else j end end w from raw),
-items as (select message_id, unnest(case json_type(w) when 'ARRAY' then json_extract(w, '$[*]') else [w] end) e, generate_subscripts(case json_type(w) when 'ARRAY' then json_extract(w, '$[*]') else [w] end, 1) - 1 place from whole where w is not null),
+opened as (select *, case json_type(j) when 'OBJECT' then case when coalesce(json_type(j, '$.data'), 'NULL') <> 'NULL' then j->'$.data' else j->'$.result' end end inner_ from raw),
+whole as (select message_id, case when json_type(inner_) in ('OBJECT', 'ARRAY') then j end outer_, case json_type(j) when 'ARRAY' then j when 'OBJECT' then case when json_type(inner_) in ('OBJECT', 'ARRAY') then inner_ when json_extract_string(j, '$.type') in ('ping', 'pong') and not list_has_any(json_keys(j), ['data', 'result']) then null else j end end w from opened),
+items as (select message_id, outer_, unnest(case json_type(w) when 'ARRAY' then json_extract(w, '$[*]') else [w] end) e, generate_subscripts(case json_type(w) when 'ARRAY' then json_extract(w, '$[*]') else [w] end, 1) - 1 place from whole where w is not null),
 events_ as (select * from items where json_type(e) = 'OBJECT')"""
+_OWN = "case when outer_ is not null and not list_contains(json_keys(e), '{0}') then outer_->'$.{0}' else e->'$.{0}' end"
+_CANDIDATES = _EVENTS + f""",
+offered as (select message_id, place, e, {_OWN.format('stoks')} a, {_OWN.format('stocks')} b from events_),
+chosen as (select message_id, place, e, case when coalesce(json_type(a), 'NULL') <> 'NULL' then a when coalesce(json_type(b), 'NULL') <> 'NULL' then b when coalesce(json_extract_string(e, '$.stocker_code'), '') <> '' then e end v from offered),
+unquoted as (select message_id, place, case when json_type(v) = 'VARCHAR' then case when json_valid(json_extract_string(v, '$')) then json_extract_string(v, '$')::json end else v end v from chosen),
+each_ as (select message_id, place, unnest(case json_type(v) when 'ARRAY' then json_extract(v, '$[*]') when 'OBJECT' then [v] end) c from unquoted)"""
 _F = "json_extract_string(e, '$.{}')"
 _ID = "coalesce(nullif(json_extract_string(e, '$.id_str'), ''), nullif(json_extract_string(e, '$.id'), ''), nullif(json_extract_string(e, '$.new_id'), ''), '')"
 _URL = "coalesce(nullif(json_extract_string(e, '$.item_url'), ''), nullif(json_extract_string(e, '$.content_url'), ''), '')"
 _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8194) || chr(8201) || chr(8239) || chr(8287) || chr(12288)"
-_TEXTS = "list_filter([" + ", ".join(f"trim(coalesce(json_extract_string(e, '$.{f}'), ''), {_WS})" for f in I.TEXT_FIELDS) + "], lambda x: lower(x) not in ('', 'null', '{}', '[]'))"
+_TEXTS = "list_filter([" + ", ".join(f"trim(case when json_type(e, '$.{f}') = 'VARCHAR' then json_extract_string(e, '$.{f}') else '' end, {_WS})" for f in I.TEXT_FIELDS) + "], lambda x: lower(x) not in ('', 'null', '{}', '[]'))"
 
 
 FORM = "trim(regexp_replace(regexp_replace(lower(regexp_replace(text, 'https?://[^ \\t\\n\\f\\r\\x0b]+', '', 'g')), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -150,8 +160,9 @@ def oracle_sql():
         "extract_text": f"with {_EVENTS}, t as (select message_id, place, {_TEXTS} x from events_) select message_id, place, coalesce(array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), chr(10)), '') as text from t",
         "source_type": f"""with {_EVENTS} select message_id, place, case when trim(coalesce({_F.format('source_type')}, '')) <> '' then lower(trim({_F.format('source_type')})) when contains(lower({_URL}), 'twitter.com/') or contains(lower({_URL}), 'x.com/') or coalesce({_F.format('id_str')}, '') <> '' then 'twitter' when coalesce({_F.format('content_url')}, '') <> '' or coalesce({_F.format('types')}, '') <> '' then 'news' else 'unknown' end source_type from events_""",
         "record_projection": f"with {_EVENTS} select message_id, place, {_ID} source_id, {_URL} source_url, coalesce({_F.format('create_time')}, '') published_at from events_",
-        "record_key": f"with {_EVENTS} select message_id, place, case when trim({_ID}) <> '' then 'id:' || {_ID} when e::varchar <> '{{}}' then 'event' else 'text:' || sha256('') end source_key from events_",
-        "heartbeat_filter": "select case when event_id % 2 = 0 then 'whole' else 'inner' end kind, count(*) n from events where not (event_id % 3 = 0 and event_id % 2 = 0) group by 1",
+        "record_key": f"with {_EVENTS} select message_id, place, case when trim({_ID}, {_WS}) <> '' then 'id:' || trim({_ID}, {_WS}) when e::varchar <> '{{}}' then 'event' else 'text:' || sha256('') end source_key from events_",
+        "event_candidates": f"with {_CANDIDATES} select stocker_code, count(*) n from (select distinct message_id, place, coalesce(json_extract_string(c, '$.stocker_id'), '') id, upper(trim(coalesce(json_extract_string(c, '$.stocker_code'), ''), {_WS})) stocker_code, trim(coalesce(json_extract_string(c, '$.stocker_name'), ''), {_WS}) name from each_ where json_type(c) = 'OBJECT') where id || stocker_code || name <> '' group by stocker_code",
+        "heartbeat_filter": "select case when event_id % 4 = 3 then 'inner' else 'whole' end kind, count(*) n from events where not (event_id % 3 = 0 and event_id % 4 = 0) group by 1",
         "message_time": "select id, coalesce(nullif(trim(published_at), ''), received_at) message_time from messages",
         "nonblank_messages": "select id, length(text) characters from messages where trim(text) <> ''",
         "source_backfill": "select case when source_type = 'unknown' and (contains(lower(source_url), 'twitter.com/') or contains(lower(source_url), 'x.com/')) then 'twitter' else source_type end source_type, count(*) n from messages group by 1",

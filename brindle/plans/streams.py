@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.operators import registry as R
-from brindle.plans.events import _EVENTS, _ID
+from brindle.plans.events import _EVENTS, _ID, _WS
 from brindle.plans.mentions import registry
 from brindle.session import table
 from brindle.streaming import ingest as S
@@ -51,7 +51,7 @@ def queries():
 
 
 def oracle_sql():
-    keyed = f"with {_EVENTS}, k as (select message_id, place, 'id:' || {_ID} source_key from events_ where trim({_ID}) <> '')"
+    keyed = f"with {_EVENTS}, k as (select message_id, place, 'id:' || trim({_ID}, {_WS}) source_key from events_ where trim({_ID}, {_WS}) <> '')"
     return {
         "stream_ingest": f"{keyed} select source_key, min_by(message_id, (message_id, place)) message_id from k group by source_key",
         "stream_dedup": f"{keyed} select source_key, 1 n from k group by source_key",
