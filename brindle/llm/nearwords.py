@@ -7,14 +7,17 @@ is an element of its own, so a text is a set of elements and the shared words ar
    costs one representative.
 2. Representatives are put into tiles. A tile is a minhash band of elements (ROWS minima of BANDS groups) within which texts
    are kept sorted by size, so that only the band of sizes that can reach SHARE is swept; texts of up to SHORT words also
-   meet by all elements of an exact prefix. Bands whose buckets are hot are split into blocks of about BLOCK rows, and each
-   pair of blocks is a tile of its own: no bucket has to fit one task, and no partner is capped.
+   meet by all elements of an exact prefix. With `exact`, tiles are the elements of exact prefixes for texts of every size,
+   rarest elements first, and no band is used: every pair is found, at a cost that grows with the square of the most frequent
+   prefix elements. Keys with more than BLOCK rows are split into blocks of about BLOCK, and each pair of blocks is a tile of
+   its own: no key has to fit one task, and no partner is capped.
 3. In a tile, hashed bitmaps bound the shared words from above by the bits in which they differ; pairs that can't reach SHARE
    end there, in array arithmetic.
 4. The rest are verified by exact intersection of sorted element arrays.
 
 Elements are 32-bit hashes in the exact step (chance of one false shared word in a pair of 70 words: 1e-6). The minhash
-stage finds a pair of similarity s = shared / union with 1 - (1 - s ** ROWS) ** BANDS; README has its measured recall.
+stage finds a pair of similarity s = shared / union with 1 - (1 - s ** ROWS) ** BANDS, which is 0.94 at the least similarity
+that SHARE allows (two texts of equal length, s = 0.7 / 1.3) and more for all others; README has its measured recall.
 
 Cases: null, empty and wordless texts are no case; repeated ids count once (the least text); empty tables give no rows.
 """
@@ -22,7 +25,6 @@ Cases: null, empty and wordless texts are no case; repeated ids count once (the
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm import codepoints as C
-from brindle.session import checkpoint, widened
+from brindle.session import bounded, checkpoint, widened
 
-SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS = 0.7, 5, 40, 17, 1500, 1 << 16
+SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 4, 32, 17, 1500, 1 << 16, 200_000
 _SIZE_BITS, _CLAMP = 14, (1 << 14) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,8 +167,25 @@ def bitmaps(elements: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray,
     return packed[:, 0].copy(), packed[:, 1].copy()
 
 
-def _tile_rows(texts: DataFrame, sided: bool) -> DataFrame:
-    """(key, id, b1, b2) of every text and band; b2 holds 48 bits of the bitmap, 14 of the size, and the side."""
+def element_counts(texts: DataFrame) -> np.ndarray:
+    """How often elements occur, by 16 bits of their hashes: a bounded stand-in for the rarity of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            n += np.bincount(np.asarray(b.column(0).flatten()).view(np.uint32) & np.uint32(0xFFFF), minlength=1 << 16)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["slot", "n"])
+
+    out = np.zeros(1 << 16, np.int64)
+    for r in texts.select("elements").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def _tile_rows(texts: DataFrame, sided: bool, rarity: np.ndarray | None = None) -> DataFrame:
+    """(key, id, b1, b2) of every text and band; b2 holds 48 bits of the bitmap, 14 of the size, and the side. With `rarity`,
+    of every text and element of its exact prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -180,10 +199,12 @@ def _tile_rows(texts: DataFrame, sided: bool) -> DataFrame:
                 row = np.repeat(np.arange(n), counts)
                 b1, b2 = bitmaps(e, row, n)
                 b2 |= np.minimum(counts, _CLAMP).astype(np.uint64) << np.uint64(48)
-                keys, who = [band_keys(e, heads).T.ravel()], [np.tile(np.arange(n), BANDS)]
+                keys, who = ([band_keys(e, heads).T.ravel()], [np.tile(np.arange(n), BANDS)]) if rarity is None else ([], [])
+                if rarity is not None:
+                    e = e[np.lexsort((e, rarity[e & np.uint32(0xFFFF)], row))]
                 within = np.arange(len(e)) - heads[row]
-                prefix = (counts[row] <= SHORT) & (within <= counts[row] - np.ceil(SHARE * counts[row] - 1e-9))
-                if prefix.any():  # sorted by hash, a fixed order of all elements: two texts that share SHARE share one of the prefix
+                prefix = ((counts[row] <= SHORT) | (rarity is not None)) & (within <= counts[row] - np.ceil(SHARE * counts[row] - 1e-9))
+                if prefix.any() or not keys:  # in one fixed order of all elements: two texts that share SHARE share one of the prefix
                     keys.append(mix(e[prefix].astype(np.uint64) + np.uint64(1 << 40)))
                     who.append(row[prefix])
                 key, at = np.concatenate(keys), np.concatenate(who)
@@ -223,16 +244,18 @@ def _sweep(key: np.ndarray, ids: np.ndarray, b1: np.ndarray, b2: np.ndarray, sid
     return np.concatenate(left or [ids[:0]]), np.concatenate(right or [ids[:0]])
 
 
-def candidate_pairs(texts: DataFrame, sided: bool = False) -> DataFrame:
+def candidate_pairs(texts: DataFrame, sided: bool = False, exact: bool = False) -> DataFrame:
     """Distinct pairs (a < b) of texts (id, elements[, side0, side1]) that size and bitmap allow; with sides, only pairs across."""
-    tiles = _tile_rows(texts, sided)
+    tiles = _tile_rows(texts, sided, element_counts(texts) if exact else None)
     bucket = F.pmod("key", F.lit(BUCKETS)).cast("int")
     counts = tiles.select(bucket.alias("bucket")).groupBy("bucket").count().collect()  # at most BUCKETS rows
     mean = sum(r["count"] for r in counts) / BUCKETS
-    hot = [(r["bucket"], math.ceil((r["count"] - mean) / BLOCK)) for r in counts if r["count"] > mean + 8 * mean**0.5 + BLOCK]
-    if hot:
-        table = texts.sparkSession.createDataFrame(hot, "bucket int, parts int")
-        rows = tiles.withColumn("bucket", bucket).join(F.broadcast(table), "bucket", "left").drop("bucket")
+    hot = [(r["bucket"],) for r in counts if r["count"] > mean + 8 * mean**0.5 + BLOCK]
+    if hot:  # only in these can a key have more than BLOCK rows; keys are counted there, and only hot ones are split
+        few = F.broadcast(texts.sparkSession.createDataFrame(hot, "bucket int"))
+        keys = tiles.withColumn("bucket", bucket).join(few, "bucket", "left_semi").groupBy("key").count().where(F.col("count") > BLOCK)
+        keys = checkpoint(keys.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")))
+        rows = tiles.join(bounded(keys, HOT_KEYS), "key", "left")
     else:
         rows = tiles.withColumn("parts", F.lit(None).cast("int"))
     salt = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
@@ -296,18 +319,19 @@ def shared_words(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared int, longest int")
 
 
-def classes(texts: DataFrame, *flags: str) -> tuple[DataFrame, DataFrame]:
-    """Representatives (id, elements, flags: whether any member has it) and members (id, rep, flags) of texts of equal elements."""
-    light = texts.select("id", "f1", "f2", *flags)
+def classes(texts: DataFrame, *flags: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Representatives (id, elements, flags: whether any member has it) and members (id, rep, flags, carried columns) of texts of
+    equal elements."""
+    light = texts.select("id", "f1", "f2", *flags, *carry)
     heads = light.groupBy("f1", "f2").agg(F.min("id").alias("rep"), *(F.max(f).alias(f) for f in flags))
-    members = light.join(heads.drop(*flags), ["f1", "f2"]).select("id", "rep", *flags)
+    members = light.join(heads.drop(*flags), ["f1", "f2"]).select("id", "rep", *flags, *carry)
     reps = texts.select("id", "elements").join(heads.select(F.col("rep").alias("id"), *flags), "id")
     return reps, members
 
 
-def near_links(reps: DataFrame, sided: bool = False) -> DataFrame:
+def near_links(reps: DataFrame, sided: bool = False, exact: bool = False) -> DataFrame:
     """Verified pairs (a, b) of representatives."""
-    found = shared_words(candidate_pairs(reps, sided), reps)
+    found = shared_words(candidate_pairs(reps, sided, exact), reps)
     return found.where(F.col("shared") >= F.ceil(F.lit(SHARE) * F.col("longest") - F.lit(1e-9))).select("a", "b")
 
 
@@ -316,24 +340,27 @@ def prepare(df: DataFrame, key: str, column: str) -> DataFrame:
     return checkpoint(text_elements(df, key, column))
 
 
-def near_duplicates(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Each pair (id_1 < id_2) of rows whose texts are near-duplicates, exact copies included."""
+def near_duplicates(df: DataFrame, key: str, column: str, exact: bool = False) -> DataFrame:
+    """Each pair (id_1 < id_2) of rows whose texts are near-duplicates, exact copies included.
+
+    `near_duplicate_groups` says the same with one row a text: the pairs of a class of n equal texts are n * (n - 1) / 2 rows.
+    """
     reps, members = classes(prepare(df, key, column))
     reps = checkpoint(reps)
     a = members.select(F.col("id").alias("m1"), F.col("rep").alias("a"))
     b = members.select(F.col("id").alias("m2"), F.col("rep").alias("b"))
-    across = near_links(reps).join(a, "a").join(b, "b").select("m1", "m2")
+    across = near_links(reps, exact=exact).join(a, "a").join(b, "b").select("m1", "m2")
     within = a.join(b, F.col("a") == F.col("b")).where("m1 < m2").select("m1", "m2")
     return across.union(within).select(F.least("m1", "m2").alias("id_1"), F.greatest("m1", "m2").alias("id_2"))
 
 
-def near_duplicate_groups(df: DataFrame, key: str, column: str) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, column: str, exact: bool = False) -> DataFrame:
     """One row (id, group, links) for every text: the least id it is connected to, and the links of its class to other classes."""
     from brindle.operators.components import connected_components
 
     reps, members = classes(prepare(df, key, column))
     reps = checkpoint(reps)
-    links = checkpoint(near_links(reps))
+    links = checkpoint(near_links(reps, exact=exact))
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("links"))
     groups = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("group"))
     return members.join(groups, "rep", "left").join(degree, "rep", "left").select("id", F.coalesce("group", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

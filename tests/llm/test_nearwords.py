@@ -89,3 +89,36 @@ def test_hot_groups(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
     groups = {r["id"]: r["group"] for r in N.near_duplicate_groups(df, "id", "text").collect()}
     assert all(groups[i] == 0 for i in range(120)) and groups[150] == 150
+
+
+def boundary(seed, n=150):
+    """Pairs of texts of 40 words that share 28, in any order: the least that counts."""
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        words = [f"p{k}w{i}" for i in range(52)]
+        a, b = words[:40], words[:28] + words[40:]
+        rng.shuffle(a)
+        rng.shuffle(b)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    return rows
+
+
+def test_recall_at_the_least_similarity(spark):
+    df = spark.createDataFrame(boundary(1), "id long, text string")
+    got = {tuple(r) for r in N.near_duplicates(df, "id", "text").collect()}
+    assert got <= {(2 * k, 2 * k + 1) for k in range(150)} and len(got) >= 0.9 * 150
+
+
+@pytest.mark.parametrize("block", [N.BLOCK, 8])
+def test_exact_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "BUCKETS", 1 << 16 if block > 8 else 64)
+    rows = [r for r in texts(7) if r[1]] + [(1000 + i, t) for i, t in boundary(2, 30)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [tuple(r) for r in N.near_duplicates(df, "id", "text", exact=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_every_text_of_a_message_is_compared(spark):
+    df = spark.createDataFrame([(1, "a b c", "train"), (1, "zz yy xx", "train"), (2, "c b a", "val"), (3, "xx yy zz", "test"), (4, "x y z", "test")], "message_id long, message_text string, split string")
+    assert sorted(map(tuple, split_overlaps(df).collect())) == [(1, 2), (1, 3)]
