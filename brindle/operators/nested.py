@@ -2,18 +2,20 @@
 
 A bottom-up tree automaton gives every JSON value a state: leaves have their type, an array the set of its elements'
 states, an object the set of its (key, state) pairs. The state of an item object is its structural variant; the state below
-its alias key routes it to a typed subtype (`form`). All items share the supertype columns (origin, parent_id, item_path,
-container_path, code, name, variant, form), so subtype tables join back to their parents on (origin, parent_id, item_path).
+its alias key, which the item's state names, is final in one typed subtype (`form`) and so routes the item there: each subtype
+has a reader of its own. All items share the supertype columns (origin, parent_id, item_path, container_path, code, name,
+variant, form), so subtype tables join back to their parents on (origin, parent_id, item_path).
 
 JSON held in a string counts as if it stood there unquoted, at any number of levels. Cases: null, blank, cut off or otherwise
-invalid text gives no row, as does text nested deeper than the parser's stack; an item without aliases gives one row with
-alias_no 0 and ''; null and blank aliases are not counted; an alias object counts by its `name`; repeated keys: the last one.
+invalid text gives no row; records of any depth are read; an item without aliases gives one row with alias_no 0 and ''; null
+and blank aliases are not counted; an alias object counts by its `name`; repeated keys: the last one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-import zlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +37,71 @@ def decode(text: str):
     """The JSON value of a text; ValueError where it isn't valid."""
     try:
         return _decoder.decode(text)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+    except RecursionError:
+        return decode_deep(text)
+
+
+_SPACE, _SCALAR = re.compile(r"[ \t\n\r]*"), re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+
+
+def decode_deep(text: str):
+    """As `decode`, for texts nested deeper than the stack: open containers are kept in a list."""
+    at, n = _SPACE.match(text).end(), len(text)
+    opened: list[tuple[object, str | None]] = []  # container, key under which it stands
+    done: object = None
+    while True:
+        c = text[at : at + 1]
+        key = None
+        if c in ("{", "["):
+            inside = _SPACE.match(text, at + 1).end()
+            opened.append(({} if c == "{" else [], None))
+            if text[inside : inside + 1] == ("}" if c == "{" else "]"):
+                done, at = opened.pop()[0], inside + 1
+            elif c == "[":
+                at = inside
+                continue
+            else:
+                key, at = _key(text, inside)
+                opened[-1] = (opened[-1][0], key)
+                continue
+        elif c == '"':
+            done, at = json.decoder.scanstring(text, at + 1, True)
+        elif m := _SCALAR.match(text, at):
+            done, at = _decoder.decode(m.group()), m.end()
+        else:
+            raise ValueError("not JSON")
+        while True:  # a value is complete: put it where it belongs, and close what ends with it
+            at = _SPACE.match(text, at).end()
+            if not opened:
+                if at < n:
+                    raise ValueError("not JSON")
+                return done
+            box, key = opened[-1]
+            if isinstance(box, dict):
+                box[key] = done
+            else:
+                box.append(done)
+            c, at = text[at : at + 1], at + 1
+            if c == ",":
+                at = _SPACE.match(text, at).end()
+                if isinstance(box, dict):
+                    key, at = _key(text, at)
+                    opened[-1] = (box, key)
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError("not JSON")
+            done = opened.pop()[0]
+
+
+def _key(text: str, at: int) -> tuple[str, int]:
+    """Key at a place and the place of its value."""
+    if text[at : at + 1] != '"':
+        raise ValueError("not JSON")
+    key, at = json.decoder.scanstring(text, at + 1, True)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError("not JSON")
+    return key, _SPACE.match(text, at + 1).end()
 
 
 def unquote(value):
@@ -56,18 +121,37 @@ def unquote(value):
 
 
 class TreeAutomaton:
-    """Interns the states of JSON values. Equal shapes have equal states in every process: a state is a hash of its term."""
+    """Interns the states of JSON values. Equal shapes have equal states in every process: a state is a 64-bit hash of its term.
+
+    `form` names the subtype in which a state is final, `below` the states under the keys of an object's state.
+    """
 
     def __init__(self) -> None:
         self.known: dict[object, int] = {}
+        self.form: dict[int, str] = {}
+        self.below: dict[int, dict[str, int]] = {}
 
-    def _state(self, term: object) -> int:
-        if (s := self.known.get(term)) is None:
-            if len(self.known) > 200_000:  # bounds the memory of one task; states don't depend on it
+    def _state(self, step: str, term: object) -> int:
+        if (s := self.known.get((step, term))) is None:
+            if len(self.known) > 200_000:  # bounds the memory of one task; states don't depend on it, and living ones are met again
                 self.known.clear()
-            s = self.known[term] = zlib.crc32(repr(term).encode())
+            s = self.known[step, term] = int.from_bytes(hashlib.blake2b(repr((step, term)).encode(), digest_size=8).digest(), "big", signed=True)
+            if step == "object":
+                self.form[s], self.below[s] = "objects", dict(term)
+            elif step == "array":
+                kinds = {{"objects": "objects", "null": "null", "text": "texts"}.get(self.form[x], "nested") for x in term} - {"null"}
+                self.form[s] = "texts" if not kinds else kinds.pop() if len(kinds) == 1 else "mixed"
+            elif step == "quoted":
+                self.form[s] = self.form[term]
+            else:
+                self.form[s] = "null" if term == "NoneType" else "text"
         return s
 
+    def route(self, item: int) -> str:
+        """Subtype of an item object by its state."""
+        field = self.below[item].get(ALIAS_KEY)
+        return "absent" if field is None else self.form[field]
+
     def classify(self, value) -> int:
         out: list[int] = []  # states of values whose parent isn't done
         stack: list[tuple[str, object]] = [("value", value)]
@@ -83,25 +167,15 @@ class TreeAutomaton:
                 elif isinstance(v, str) and isinstance(inner := unquote(v), (dict, list)):
                     stack += [("quoted", [inner]), ("value", inner)]
                 else:
-                    out.append(self._state(type(v).__name__))
+                    out.append(self._state("leaf", type(v).__name__))
                 continue
             n = len(out) - len(v)
             states, out[n:] = out[n:], []
             term = tuple(sorted(zip(v, states))) if step == "object" else tuple(sorted(set(states))) if step == "array" else states[0]
-            out.append(self._state((step, term)))
+            out.append(self._state(step, term))
         return out[0]
 
 
-def form_of(value) -> str:
-    """Subtype of an (unquoted) alias field."""
-    if value is None:
-        return "null"
-    if isinstance(value, list):
-        kinds = {"objects" if isinstance(v, dict) else "nested" if isinstance(v, list) else "texts" for v in value if v is not None}
-        return "texts" if not kinds else kinds.pop() if len(kinds) == 1 else "mixed"
-    return "objects" if isinstance(value, dict) else "text"
-
-
 def aliases_of(value) -> list[str]:
     """Aliases in order, across nested arrays."""
     out: list[str] = []
@@ -125,6 +199,15 @@ def aliases_of(value) -> list[str]:
     return out
 
 
+def _texts(value) -> list[str]:
+    """Reader of the subtype `texts`: a list of texts and other scalars."""
+    value = unquote(value)
+    return [x for x in (v if isinstance(v, str) else json.dumps(v) for v in value if v is not None) if x.strip()]
+
+
+READERS = {"absent": lambda _: [], "null": lambda _: [], "texts": _texts}  # any other form: aliases_of
+
+
 def items_of(value) -> Iterator[tuple[str, str, dict]]:
     """(path, path of the container, object) of every item, in document order."""
     stack = [("$", "", value)]
@@ -165,17 +248,17 @@ def flatten_items(df: DataFrame, key: str, column: str, origin: str, bare_aliase
                     value = unquote(value)
                     found = [("$", "", None, None, value)]
                 else:
-                    found = [(p, c, v, unquote(v.get(ALIAS_KEY)), None) for p, c, v in items_of(value)]
+                    found = [(p, c, v, v.get(ALIAS_KEY), None) for p, c, v in items_of(value)]
                 for path, container, item, field, bare in found:
-                    names = aliases_of(bare if item is None else field)
+                    variant = automaton.classify(bare if item is None else item)
+                    form = automaton.form[variant] if item is None else automaton.route(variant)
+                    names = READERS.get(form, aliases_of)(bare if item is None else field)
                     if not names:
                         if item is None:
                             continue
                         names, first = [""], 0
                     else:
                         first = 1
-                    variant = automaton.classify(bare if item is None else item)
-                    form = form_of(bare) if item is None else form_of(field) if ALIAS_KEY in item else "absent"
                     code, name = (None, None) if item is None else (_text(item.get(ITEM_KEY)), _text(item.get("stocker_name")))
                     for no, alias in enumerate(names, first):
                         for col, x in zip(cols, (k, path, container, code, name, variant, form, no, alias)):

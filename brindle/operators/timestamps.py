@@ -132,9 +132,17 @@ def _epoch(chars: np.ndarray, at: dict[str, tuple[int, int]]) -> np.ndarray:
 def normalise_array(values: list[str | None], zones: list[str | None]) -> list[str | None]:
     """UTC texts of a batch; None for values that denote no moment. `zones` are the default zones of values without one."""
     out: list[str | None] = [None] * len(values)
-    keep = [i for i, v in enumerate(values) if v and len(v) <= 64 and any(c.isdigit() for c in v)]
-    if not keep:
-        return out
+    groups: dict[int, list[int]] = {}  # by length, so that a long value doesn't widen the array of all others
+    stripped = [v.strip() if v else "" for v in values]
+    for i, v in enumerate(stripped):
+        if any(c.isdigit() for c in v):
+            groups.setdefault((len(v) // 64).bit_length(), []).append(i)
+    for keep in groups.values():
+        _normalise(stripped, zones, keep, out)
+    return out
+
+
+def _normalise(values: list[str], zones: list[str | None], keep: list[int], out: list[str | None]) -> None:
     texts = np.array([values[i] for i in keep])
     width = texts.dtype.itemsize // 4
     chars = texts.view(np.uint32).reshape(len(keep), width)
@@ -151,7 +159,6 @@ def normalise_array(values: list[str | None], zones: list[str | None]) -> list[s
         for r, t, good in zip(rows, texts_out, ok):
             if good:
                 out[keep[r]] = str(t)
-    return out
 
 
 def normalise_timestamps(df: DataFrame, key: str, fields: dict[str, str | None]) -> DataFrame:

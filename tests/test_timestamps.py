@@ -51,3 +51,8 @@ def test_messages(spark):
     df = spark.createDataFrame(rows, "id long, published_at string, received_at string, raw_event_json string, zone int")
     assert sorted(map(tuple, message_times(df).collect())) == [(1, "published_at", "2025-01-31T16:00:00.000000Z"), (1, "received_at", "2025-02-01T01:00:00.000000Z")]
     assert message_times(df.limit(0)).count() == 0
+
+
+def test_padding_of_any_length():
+    wide = " " * 300 + "2025-02-01 01:08:51" + "\t" * 5000
+    assert normalise_array([wide, "2025-02-01 01:08:51", "1" * 3000], ["Europe/Berlin", None, None]) == ["2025-02-01T00:08:51.000000Z", "2025-02-01T01:08:51.000000Z", None]
