@@ -121,7 +121,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def latent_space(parts: DataFrame) -> np.ndarray:
     """Latent vector (RANK) of every feature, its idf included, from the tasks' parts (block, part) of the sketch."""
     kind, blocks = "block int, part binary", FEATURES // BLOCK_FEATURES
-    salted = parts.select("block", "part", F.pmod(F.xxhash64("part"), F.lit(16)).alias("salt")).repartition(64, "block", "salt").select("block", "part")
+    salted = parts.select("block", "part", F.pmod(F.xxhash64("part"), F.lit(16)).alias("salt")).repartition(blocks, "block", "salt").select("block", "part")
     sketch, df, n = np.zeros((SKETCH, FEATURES)), np.zeros(FEATURES, np.int64), 0
     for r in salted.mapInArrow(_sums, kind).repartition(blocks, "block").mapInArrow(_sums, kind).toLocalIterator():
         at = r["block"] * BLOCK_FEATURES
