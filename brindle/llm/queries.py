@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.llm import bpe, canonical, codepoints, leakage, nearwords, privacy, shapes, splits
@@ -37,7 +39,9 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_text(spark: SparkSession, root: str) -> DataFrame:
-    return privacy.pseudonymise(table(spark, root, "messages"), "id", "text", secret="a secret of the owner of the data").toDF("message_id", "text")
+    """The secret is the owner's, by `spark.brindle.secret`; without one, surrogates only hold within this call."""
+    secret = spark.conf.get("spark.brindle.secret", None) or secrets.token_hex(32)
+    return privacy.pseudonymise(table(spark, root, "messages"), "id", "text", secret).toDF("message_id", "text")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
