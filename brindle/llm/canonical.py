@@ -2,9 +2,9 @@
 
 A typed name is reduced to mention words; a mention and a reference word are sets of letter pairs, ordered by their rarity in
 the reference list. Only the rare prefixes are joined; sizes and positions bound the overlap before the exact Jaccard
-similarity is computed, and the best entry is kept. Because a listed and an unlisted firm can differ by one word, an exact
+similarity is computed. Because a listed and an unlisted firm can differ by one word, an exact
 check follows: the mention is at most one edit from the reference word, and a line of business, where one is typed, is that of
-the entry. A code that is a listed one in any notation decides by itself.
+the entry. Of the entries left the most similar is kept; where two are equally similar, the value stays unmatched. A code that is a listed one in any notation decides by itself.
 
 The typed values are reduced to their distinct pairs before any of this, so a value typed by a third of all rows costs one.
 The reference list is broadcast only while it is small (BROADCAST_ROWS); beyond, the joins are shuffled.
@@ -164,14 +164,16 @@ def map_to_canonical(rows: DataFrame, instruments: DataFrame, key: str = "id", c
     names = names.select("code", "name", F.col("n.canonical_code").alias("canonical_code"), trusted.alias("trust"), F.col("level"), "jaccard")
     best = names.groupBy("code", "name").agg(
         *[F.array_distinct(F.collect_list(F.when(F.col("level") == k, F.col("canonical_code")))).alias(f"level{k}") for k in (3, 2)],
-        *[F.array_distinct(F.collect_list(F.when((F.col("level") == k) & F.col("trust").isNotNull(), F.col("canonical_code")))).alias(f"trust{k}") for k in (3, 2)],
+        *[F.collect_set(F.when((F.col("level") == k) & F.col("trust").isNotNull(), F.struct("jaccard", "canonical_code"))).alias(f"trust{k}") for k in (3, 2)],
     )  # at most the entries that share a first word
     none = F.array().cast("array<string>")
     best = typed.select("code", "name").join(codes, ["code", "name"], "left").join(best, ["code", "name"], "left")
     full = lambda c: F.coalesce(c, none)
     listed = full(F.col("listed"))
+    most = lambda a: F.transform(F.filter(a, lambda x: x["jaccard"] == F.array_max(a)["jaccard"]), lambda x: x["canonical_code"])  # noqa: E731  the most similar
+    nearest = [F.coalesce(most(F.col(f"trust{k}")), none) for k in (3, 2)]
     single = lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))
-    decided = F.coalesce(single(listed), *[single(F.array_intersect(listed, full(F.col(f"level{k}")))) for k in (3, 2)], F.when(F.size(listed) == 0, F.coalesce(single(full(F.col("trust3"))), F.when(F.size(full(F.col("trust3"))) == 0, single(full(F.col("trust2")))))), F.lit(UNMATCHED))
+    decided = F.coalesce(single(listed), *[single(F.array_intersect(listed, full(F.col(f"level{k}")))) for k in (3, 2)], F.when(F.size(listed) == 0, F.coalesce(single(nearest[0]), F.when(F.size(nearest[0]) == 0, single(nearest[1])))), F.lit(UNMATCHED))
     result = best.select("code", "name", decided.alias("canonical_code"))
     return cases.join(result, ["code", "name"]).select("key", "canonical_code")
 

@@ -30,6 +30,13 @@ def test_cases(spark):
     assert {(r["stocker_code"], r["rows"]) for r in report} >= {("USDT", 2)}
 
 
+def test_the_most_similar_entry_is_kept(spark):
+    listed = [("AUSDT", "AA", "NYSE:AA", "Velmora Inc.", None, "stock"), ("BUSDT", "BB", "NYSE:BB", "Velmoro Inc.", None, "stock"), ("CUSDT", "CC", "NYSE:CC", "Tarnik", None, "stock"), ("DUSDT", "DD", "NYSE:DD", "Tarnik", None, "stock")]
+    ref = spark.createDataFrame(listed, "contract_symbol string, ticker string, canonical_code string, name_en string, name_cn string, code string")
+    rows = spark.createDataFrame([(1, "", "Velmora"), (2, "", "Velmoro"), (3, "", "Velmor"), (4, "", "Tarnik")], "id long, stocker_code string, stocker_name string")
+    assert {r["key"]: r["canonical_code"] for r in map_to_canonical(rows, ref).collect()} == {1: "NYSE:AA", 2: "NYSE:BB", 3: "UNMATCHED", 4: "UNMATCHED"}
+
+
 def test_empty(spark):
     rows, ref = frames(spark)
     assert map_to_canonical(rows.limit(0), ref).count() == 0
