@@ -16,7 +16,7 @@ is an element of its own, so a text is a set of elements and the shared words ar
 4. The rest are verified by exact intersection of sorted element arrays.
 
 Elements are 32-bit hashes in the exact step (chance of one false shared word in a pair of 70 words: 1e-6). The minhash
-stage finds a pair of similarity s = shared / union with 1 - (1 - s ** ROWS) ** BANDS, which is 0.94 at the least similarity
+stage finds a pair of similarity s = shared / union with 1 - (1 - s ** ROWS) ** BANDS, which is 0.91 at the least similarity
 that SHARE allows (two texts of equal length, s = 0.7 / 1.3) and more for all others; README has its measured recall.
 
 Cases: null, empty and wordless texts are no case; repeated ids count once (the least text); empty tables give no rows.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from brindle.llm import codepoints as C
 from brindle.session import bounded, checkpoint, widened
 
-SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 4, 32, 17, 1500, 1 << 16, 200_000
+SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 5, 52, 17, 1500, 1 << 16, 200_000
 _SIZE_BITS, _CLAMP = 14, (1 << 14) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
