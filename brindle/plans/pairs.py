@@ -182,8 +182,16 @@ def near_dup_clusters(spark, root):
 
 
 def _scored(spark, root):
-    score = F.pmod(F.col("message_id") * 31 + F.length("code") * 17 + F.col("label") * 400, F.lit(1000)) / F.lit(1000.0)
-    return _pairs(spark, root).withColumn("score", score)
+    """Pairs with the score of a model fitted on the training split: the smoothed rate of correct pairs by company and by
+    whether the message has its ticker, or by the latter alone for a company without training pairs."""
+    named = F.coalesce(F.contains("message_text", F.substring_index("code", ":", -1)), F.lit(False))
+    p = checkpoint(_pairs(spark, root).withColumn("named", named))
+    rate = ((F.sum("label") + 1).cast("double") / (F.count("*") + 2).cast("double")).alias
+    train = p.where("split = 'train'")
+    by_code = train.groupBy("code", "named").agg(rate("_a"))
+    by_name = train.groupBy("named").agg(rate("_b"))
+    joined = p.join(bounded(by_code, 100_000), ["code", "named"], "left").join(F.broadcast(by_name), "named", "left")  # two rows
+    return joined.withColumn("score", F.coalesce("_a", "_b", F.lit(0.5))).drop("_a", "_b", "named")
 
 
 def binary_metrics(spark, root):
@@ -195,7 +203,7 @@ def threshold_sweep(spark, root):
 
 
 def threshold_pick(spark, root):
-    return E.picks(E.threshold_sweep(_scored(spark, root).where("split = 'val'")), 0.5, 0.5)
+    return E.picks(E.threshold_sweep(_scored(spark, root).where("split = 'val'")))
 
 
 def variant_pick(spark, root):
@@ -211,7 +219,7 @@ def variant_pick(spark, root):
 def frozen_test_eval(spark, root):
     """Thresholds chosen on the validation split, applied to the test split."""
     s = _scored(spark, root)
-    chosen = E.picks(E.threshold_sweep(s.where("split = 'val'")), 0.5, 0.5).where("threshold is not null").collect()  # at most four policies
+    chosen = E.picks(E.threshold_sweep(s.where("split = 'val'"))).where("threshold is not null").collect()  # at most four policies
     each = F.array(*(F.struct(F.lit(r["policy"]).alias("policy"), F.lit(r["threshold"]).alias("threshold")) for r in chosen))
     tried = s.where("split = 'test'").select("*", F.explode(each).alias("t")).select("label", "score", "t.policy", "t.threshold")
     return E.binary_metrics(tried, F.col("score") >= F.col("threshold"), "label", "policy")
@@ -276,11 +284,13 @@ reg as (select distinct canonical_code code, company_name from registry), typed
 up as materialized (select distinct u.message_id, t.code from upstream_candidates u join typed t on t.sign = upper(trim(u.stocker_code, {_WS})))"""
 _LABELS = f"{_SETS}, tagged as (select message_id, code, 0 p from correct union all select message_id, code, 1 from loc union all select message_id, code, 2 from up), labelled as (select message_id, code, (min(p) = 0)::int label, case min(p) when 1 then 'hard_rule' when 2 then 'hard_upstream' else '' end negative_type from tagged group by message_id, code)"
 _UNITS = f"{_P}, m as (select message_id, min(message_text) t, count(*) pairs from pairs group by message_id), units as (select t, min(m.message_id) \"cluster\", sum(m.pairs) pairs, max(x.created_at) at_ from m join messages x on x.id = m.message_id group by t)"
-_SCORED = f"{_P}, scored as (select *, ((message_id * 31 + length(code) * 17 + label * 400) % 1000) / 1000.0::double score from pairs)"
+_SCORED = f"""{_P}, named as (select *, coalesce(contains(message_text, split_part(code, ':', -1)), false) named from pairs),
+by_code as (select code, named, (sum(label) + 1)::double / (count(*) + 2)::double rate from named where split = 'train' group by 1, 2), by_name as (select named, (sum(label) + 1)::double / (count(*) + 2)::double rate from named where split = 'train' group by 1),
+scored as (select p.* exclude (named), coalesce(c.rate, n.rate, 0.5::double) score from named p left join by_code c on c.code = p.code and c.named = p.named left join by_name n on n.named = p.named)"""
 _RATES = "coalesce(tp / nullif(tp + fp, 0)::double, 0) as precision, coalesce(tp / nullif(tp + fn, 0)::double, 0) recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0) f1"
 _COUNTS = "count(*) filter ({p} and label = 1) tp, count(*) filter ({p} and label <> 1) fp, count(*) filter (not ({p}) and label = 1) fn, count(*) filter (not ({p}) and label <> 1) tn"
 _SWEEP = "val as (select {s} score, label from scored where split = 'val'), grid as (select distinct score threshold from val union select 0.0 union select 1.0), sw as (select threshold, count(*) filter (score >= threshold and label = 1) tp, count(*) filter (score >= threshold and label <> 1) fp, count(*) filter (score < threshold and label = 1) fn from grid, val group by threshold), sweep as (select threshold::double threshold, tp, fp, fn, " + _RATES + " from sw)"
-_PICKS = "picks as (select 'f1' policy, max_by(threshold, (f1, -threshold)) threshold, max(f1) \"value\" from sweep union all select 'precision_at_recall', max_by(threshold, (\"precision\", -threshold)), max(\"precision\") from sweep where recall >= 0.5 union all select 'recall_at_precision', max_by(threshold, (recall, -threshold)), max(recall) from sweep where \"precision\" >= 0.5 union all select 'f1_at_both', max_by(threshold, (f1, -threshold)), max(f1) from sweep where recall >= 0.5 and \"precision\" >= 0.5)"
+_PICKS = "picks as (select 'f1' policy, max_by(threshold, (f1, -threshold)) threshold, max(f1) \"value\" from sweep union all select 'precision_at_recall', max_by(threshold, (\"precision\", -threshold)), max(\"precision\") from sweep where recall >= 0.95 union all select 'recall_at_precision', max_by(threshold, (recall, -threshold)), max(recall) from sweep where \"precision\" >= 0.98 union all select 'f1_at_both', max_by(threshold, (f1, -threshold)), max(f1) from sweep where recall >= 0.95 and \"precision\" >= 0.98)"
 _FORMS = f"forms as (select id, {FORM} form from messages where text is not null)"
 _SHADOW = """sp as (select message_id, source_type, message_text, candidate_code code, label, lower(split_part(candidate_profile, ' | ', 1)) name from candidate_pairs where message_text is not null),
 both_ as (select 'v1' model_version, *, contains(message_text, split_part(code, ':', -1)) keep from sp union all select 'v2', *, contains(lower(message_text), name) from sp where source_type = 'news'),
