@@ -1,7 +1,7 @@
 """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
 Each round only joins edges with minima that were aggregated before the shuffle; a hub's edges are joined, never collected.
-Lineage is cut through tables in the shared folder, so that a lost executor costs one round.
+Lineage is cut through tables in the shared folder, so that a lost executor costs one round; only the last round's is kept.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = checkpoint(e.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     state = None
     while True:
-        e = checkpoint(_small_star(_large_star(e)))
+        e = checkpoint(_small_star(_large_star(e)), instead_of=e)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == state:
             break

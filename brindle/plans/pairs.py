@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import dataset as D, evaluate as E, registry as R, store as S
+from brindle.operators.timestamps import message_times
 from brindle.plans.events import _WS, FORM
 from brindle.plans.mentions import _MATCHES, matches, registry
 from brindle.session import bounded, checkpoint, table
@@ -181,6 +182,31 @@ def near_dup_clusters(spark, root):
     return D.clusters(_with_codes(spark, root), "id", "text", "codes")
 
 
+def _clusters(spark, root):
+    """Clusters of near-duplicate messages with their latest message time and number of pairs, and the cluster of each message."""
+    c = checkpoint(near_dup_clusters(spark, root))
+    t = message_times(table(spark, root, "messages")).groupBy("message_id").agg(F.max(F.when(F.col("field") == "published_at", F.col("utc_time"))).alias("p"), F.max(F.when(F.col("field") == "received_at", F.col("utc_time"))).alias("r"))
+    m = _pairs(spark, root).groupBy(F.col("message_id").alias("id")).agg(F.count("*").alias("pairs"), F.max((F.col("split") == "test").cast("int")).alias("frozen"))
+    each = c.join(m, "id").join(t.select(F.col("message_id").alias("id"), F.coalesce("p", "r", F.lit("")).alias("at")), "id", "left")
+    return each.groupBy("cluster").agg(F.sum("pairs").alias("pairs"), F.max(F.coalesce("at", F.lit(""))).alias("at"), F.max("frozen").alias("frozen")), c.join(m, "id", "left_semi")
+
+
+def leak_free_split(spark, root):
+    """time_split over clusters of near-duplicates: none has messages in two splits."""
+    u, members = _clusters(spark, root)
+    split = S.running_split(u.drop("frozen"), "pairs", ["at", "cluster"], [("train", 0.70), ("val", 0.85)], "test").select("cluster", "split")
+    return members.join(split, "cluster").select(F.col("id").alias("message_id"), "cluster", "split")
+
+
+def leak_free_frozen_split(spark, root):
+    """frozen_split over clusters of near-duplicates: a cluster with a frozen test message is test as a whole."""
+    u, members = _clusters(spark, root)
+    u = checkpoint(u)
+    rest = S.running_split(u.where("frozen = 0").drop("frozen"), "pairs", ["at", "cluster"], [("train", 0.70 / 0.85)], "val").select("cluster", "split")
+    split = rest.union(u.where("frozen = 1").select("cluster", F.lit("test")))
+    return members.join(split, "cluster").select(F.col("id").alias("message_id"), "cluster", "split")
+
+
 def _scored(spark, root):
     """Pairs with the score of a model fitted on the training split: the smoothed rate of correct pairs by company and by
     whether the message has its ticker, or by the latter alone for a company without training pairs."""
@@ -274,7 +300,7 @@ def review_queue(spark, root):
 
 
 def queries():
-    names = (upstream_code_join, unknown_codes, stale_codes, company_coverage, audit_distributions, duplicate_text_groups, candidate_recall, missed_pairs, false_positive_top, false_positive_detail, pair_counts_raw_dedup, set_relations, pair_labels, real_candidate_count, random_topup, background_negatives, pair_summary, time_split, frozen_split, rare_word_pairs, near_dup_edges, exact_dup_clusters, near_dup_clusters, binary_metrics, threshold_sweep, threshold_pick, variant_pick, frozen_test_eval, rule_baseline, message_metrics, latency_percentiles, shadow_agreement, shadow_summary, shadow_disagreements, review_eligible, review_queue)
+    names = (upstream_code_join, unknown_codes, stale_codes, company_coverage, audit_distributions, duplicate_text_groups, candidate_recall, missed_pairs, false_positive_top, false_positive_detail, pair_counts_raw_dedup, set_relations, pair_labels, real_candidate_count, random_topup, background_negatives, pair_summary, time_split, frozen_split, rare_word_pairs, near_dup_edges, exact_dup_clusters, near_dup_clusters, leak_free_split, leak_free_frozen_split, binary_metrics, threshold_sweep, threshold_pick, variant_pick, frozen_test_eval, rule_baseline, message_metrics, latency_percentiles, shadow_agreement, shadow_summary, shadow_disagreements, review_eligible, review_queue)
     return {f.__name__: f for f in names}
 
 

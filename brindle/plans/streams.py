@@ -30,7 +30,8 @@ def stream_side_output(spark, root):
 
 def stream_dedup(spark, root):
     raw = S.raw_stream(spark, f"{root}/messages.parquet*")
-    seen = S.once_within(S.stream_records(raw).withColumn("seen_at", F.lit("2026-01-01").cast("timestamp")))
+    made = table(spark, root, "messages").select(F.col("id").alias("message_id"), F.to_timestamp("created_at").alias("seen_at"))
+    seen = S.once_within(S.stream_records(raw).join(made, "message_id"))  # the stream's own time of each event
     out, where = S.scratch(spark, "unique"), S.scratch(spark, "offsets")
     seen.select("source_key").writeStream.format("parquet").option("path", out).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("source_key string").parquet(out).where("source_key like 'id:%'").groupBy("source_key").agg(F.count("*").alias("n"))
@@ -40,10 +41,14 @@ def stream_windows(spark, root):
     """Hourly counts of events by type over a watermarked stream."""
     e = spark.readStream.schema(table(spark, root, "events").schema).parquet(f"{root}/events.parquet*")
     counts = e.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day").groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    name = f"w{S.scratch(spark, 'w')[-32:]}"
-    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", S.scratch(spark, "offsets")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).groupBy("event_type").agg(F.count("*").alias("hours"), F.sum("n").alias("n"))
+    out = S.scratch(spark, "windows")
+
+    def batch(df, n):  # only the windows that this batch has changed
+        df.select("window.start", "event_type", "n").withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+
+    counts.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", S.scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.groupBy("event_type").agg(F.count("*").alias("hours"), F.sum("n").alias("n"))
 
 
 def queries():

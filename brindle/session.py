@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -25,12 +26,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a table in the shared folder; survives the loss of any executor."""
+_kept: dict[str, SparkSession] = {}  # folders of the tables written here
+
+
+def checkpoint(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage through a table in the shared folder; survives the loss of any executor.
+
+    `instead_of` is an earlier such table that nothing else reads: it is deleted once the new one is complete, so that a loop
+    keeps one round. All others are deleted when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _kept[path] = spark
+    if instead_of is not None:
+        _delete(getattr(instead_of, "_checkpoint", None))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._checkpoint = path
+    return out
+
+
+def _delete(path: str | None) -> None:
+    spark = _kept.pop(path, None)
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_kept):
+        try:
+            _delete(path)
+        except Exception:  # the JVM is gone; the folder is the cluster's to clean
+            return
 
 
 def widened(df: DataFrame) -> DataFrame:
