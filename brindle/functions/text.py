@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
+# Patterns of ideographs, web and e-mail addresses.
 CJK = "[一-鿿]"
 URL = r"https?://\S+"
-EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
 def ustrip(c: Column) -> Column:
@@ -16,10 +15,6 @@ def ustrip(c: Column) -> Column:
     return F.regexp_replace(c, r"^(?U:\s)+|(?U:\s)+$", "")
 
 
-def blank(c: Column) -> Column:
-    return F.coalesce(ustrip(c) == "", F.lit(True))
-
-
 def filled(*columns: Column) -> Column:
     """The first column that is neither null nor empty, else ''."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns), F.lit(""))
@@ -76,10 +71,6 @@ def sanitise(text: Column, numeric_tickers: list[str] = (), handles: Column | No
     return F.regexp_replace(c, rf"(?U)(?<!\$)\b{keep}\d{{6,}}\b", "[ID]")
 
 
-def pipe(c: Column, *steps) -> Column:
-    return reduce(lambda x, f: f(x), steps, c)
-
-
 def to_iso(millis: Column) -> Column:
     """ISO time in UTC of epoch milliseconds; '' for null and 0."""
     return F.when(F.coalesce(millis, F.lit(0)) == 0, F.lit("")).otherwise(F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.functions.text import contains_keyword, has_cjk, latin_pattern, ustrip, without_urls
-from brindle.session import bounded, widened
+from brindle.session import widened
 
 BROADCAST_TERMS = 100_000
 
@@ -25,12 +25,16 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(message_id, and the columns of the term) of every term that occurs in a message."""
     k = F.col("keyword")
     first = F.when(has_cjk(k), F.regexp_extract(F.lower(k), "([一-鿿].?)", 1)).when(k.rlike("^[A-Za-z0-9]"), F.lower(F.regexp_extract(k, "^([A-Za-z0-9]+)", 1))).otherwise(F.substring(F.lower(k), 1, 2))
-    t = bounded(terms.withColumn("block", first), BROADCAST_TERMS)
+    t = terms.withColumn("block", first)
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
     signs = F.split(F.lower("text"), "")
     pairs = F.filter(F.arrays_zip(signs.alias("a"), F.slice(signs, F.lit(2), F.length("text")).alias("b")), lambda x: ~F.contains(F.lit("abcdefghijklmnopqrstuvwxyz0123456789 \t\r\n"), x["a"]))  # no outer column inside the lambda: it would be evaluated for each element
     blocks = F.array_distinct(F.concat(tokens, F.transform(pairs, lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), F.transform(pairs, lambda x: x["a"])))
-    met = widened(texts).select("message_id", "text", F.explode(blocks).alias("block")).join(t, "block").drop("block")
+    spread = widened(texts)
+    if t.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        met = spread.select("message_id", "text", F.explode(blocks).alias("block")).join(F.broadcast(t), "block").drop("block")
+    else:  # the join is a shuffle: blocks travel without their texts, which come back for the messages that have any
+        met = spread.select("message_id", F.explode(blocks).alias("block")).join(t, "block").drop("block").join(spread, "message_id")
     ok = F.when(F.col("kind") == "ticker", F.when(F.length(k) > 1, F.rlike(F.col("text"), latin_pattern(k, False))).otherwise(F.rlike(F.col("text"), F.concat(F.lit(r"(?<![A-Za-z0-9])\$\Q"), k, F.lit(r"\E(?![A-Za-z0-9])"))))).otherwise(contains_keyword(F.col("text"), k))
     return met.where(ok).select("message_id", *terms.columns)
 

@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from brindle.functions.text import ustrip
 
+# Columns of pair and prediction files.
 PAIR = "message_id long, source_id string, source_type string, message_text string, candidate_code string, candidate_profile string, label int, negative_type string, annotation_confidence string, real_candidate_count int, split string"
 PREDICTION = "message_id long, candidate_code string, label int, negative_type string, score double"
-NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
+
+
+def plain_name(name: str) -> bool:
+    """Whether a name is one folder of its own: ASCII letters, digits, dots, dashes and underscores, and not hidden."""
+    return name.isascii() and name[:1].isalnum() and not name.replace("-", "").replace("_", "").replace(".", "").strip("".join(map(chr, range(48, 58))) + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 class BadLine(ValueError):
@@ -26,9 +31,10 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raw = spark.read.option("wholetext", False).text(path).select(F.col("value"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
     kind = T.StructType.fromDDL(f"{schema}, _bad string")
     rows = raw.where(ustrip(F.col("value")) != "").select("_b", "_i", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    bad = rows.where("r._bad is not null").orderBy("_b", "_i").select("r._bad").limit(1).collect()
+    bad = rows.where("r._bad is not null").orderBy("_b", "_i").select("_b", "_i", "r._bad").limit(1).collect()
     if bad:
-        raise BadLine(f"{path}: {bad[0][0][:200]}")
+        before = raw.where((F.col("_b") < bad[0]["_b"]) | ((F.col("_b") == bad[0]["_b"]) & (F.col("_i") < bad[0]["_i"]))).count()
+        raise BadLine(f"{path}:{before + 1}: {bad[0]['_bad'][:200]}")
     return rows.select(F.struct("_b", "_i").alias("line"), *(F.col(f"r.{f.name}").alias(f.name) for f in kind if f.name != "_bad"))
 
 
@@ -120,7 +126,7 @@ def digest(path: str) -> str:
 def snapshot(tables: dict[str, DataFrame], root: str, name: str, created_at: str) -> dict:
     """Immutable snapshot of tables as Parquet with a manifest of counts and digests; refuses an existing or odd name, leaves
     nothing behind on failure. `root` is a folder that driver and executors share."""
-    if not NAME.match(name):
+    if not plain_name(name):
         raise ValueError(f"no name of a snapshot: {name!r}")
     final = os.path.join(root, name)
     if os.path.exists(final):

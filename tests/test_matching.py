@@ -19,12 +19,14 @@ def terms(spark):
     return R.terms(R.merge_registry(R.manual_companies(raw), raw.limit(0).selectExpr("'' canonical_code", "'' market", "exchange", "ticker", "'' name_en", "'' name_cn")))
 
 
-def test_golden_mentions(spark, terms):
+def test_golden_mentions(spark, terms, monkeypatch):
     df = spark.createDataFrame([(i, t, 0) for i, (t, _) in enumerate(CASES)], "id long, text string, keyword int")
     got = {}
     for r in M.identify(df, terms).collect():
         got.setdefault(r["message_id"], {})[r["canonical_code"]] = (r["mention"], r["match_type"])
     assert [got.get(i, {}) for i in range(len(CASES))] == [want for _, want in CASES]
+    monkeypatch.setattr(M, "BROADCAST_TERMS", 3)  # terms too many to broadcast
+    assert sorted(map(tuple, M.identify(df, terms).select("message_id", "canonical_code", "mention").collect())) == sorted((i, c, m) for i, x in got.items() for c, (m, _) in x.items())
     assert M.identify(df.limit(0), terms).count() == 0 and M.identify(df, terms.limit(0)).count() == 0
 
 
