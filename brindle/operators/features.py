@@ -61,7 +61,7 @@ def char_grams(text: Column, low: int = 2, high: int = 5) -> Column:
 def gram_weights(docs: DataFrame, grams: Column, min_df: int = 2) -> DataFrame:
     """(id, gram, weight): tf times smooth idf ln((1 + n) / (1 + df)) + 1, each document of length 1."""
     each = docs.select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    n = docs.count()
+    n = docs.count()  # of the documents alone: their grams aren't computed for it
     df = each.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     w = each.join(df, "gram").select("id", "gram", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
     norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -106,13 +106,14 @@ def _svd(pairs: DataFrame, vocabulary: int, k: int) -> tuple[list, list[float]]:
     return [*stages, PCAModel(projection).setInputCol("grams_v").setOutputCol("svd")], values
 
 
-def fit(pairs: DataFrame, kind: str = "lr", vocabulary: int = 20_000, trees: int = 300, components: int = 100) -> PipelineModel:
-    """TF-IDF and structured features under a balanced logistic regression ("lr"), or boosted trees of up to 32 leaves on the SVD of the TF-IDF and the structured features ("gbt")."""
-    rows = balanced(pairs)
+def fit(pairs: DataFrame, kind: str = "lr", vocabulary: int = 20_000, trees: int = 300, components: int = 100, weighted: bool = True, with_structured: bool = True) -> PipelineModel:
+    """TF-IDF and structured features under a logistic regression ("lr", balanced unless `weighted` is off), or boosted trees of up
+    to 32 leaves on the SVD of the TF-IDF and the structured features ("gbt")."""
+    rows = balanced(pairs) if weighted else pairs.withColumn("weight", F.lit(1.0))
     if kind == "gbt":
         stages = [*_svd(rows, vocabulary, components)[0], VectorAssembler(inputCols=["svd", *STRUCTURED], outputCol="features"), GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.05, seed=7)]
     else:
-        stages = [*_vectors(rows, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v", *STRUCTURED], outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)]
+        stages = [*_vectors(rows, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v", *(STRUCTURED if with_structured else ())], outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)]
     return Pipeline(stages=stages).fit(rows)
 
 

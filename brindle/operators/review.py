@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.operators.store import latest_per_key, new_rows
+from brindle.operators.store import first_per_key, latest_per_key, new_rows
 
 
 def decision(correct: Column, predicted: Column) -> Column:
@@ -33,6 +33,24 @@ def record(incoming: DataFrame, messages: DataFrame, stored: DataFrame) -> tuple
     return once.unionByName(fresh.where("source_ref is null")), joined.where("message_id is null").select(*incoming.columns)
 
 
+def legacy_annotations(lines: DataFrame) -> DataFrame:
+    """Annotations of a legacy JSONL file (line, value; numbered from 1) as `record` takes them. Their reference is made of line
+    and content, so that a second import of the file adds nothing."""
+    kind = "struct<record_key:string,correct_codes:array<string>,scope_codes:array<string>,annotator:string,confidence:string,annotated_at:string>"
+    r = lines.where("trim(value) <> ''").select("line", "value", F.from_json("value", kind).alias("r"))
+    none, text = F.array().cast("array<string>"), lambda f: F.coalesce(F.col(f"r.{f}"), F.lit("legacy"))
+    ref = F.concat(F.lit("legacy:"), F.col("line").cast("string"), F.lit(":"), F.sha2(F.col("value"), 256))
+    return r.select(F.col("r.record_key").alias("source_key"), ref.alias("source_ref"), F.coalesce("r.correct_codes", none).alias("correct_codes"), F.coalesce("r.scope_codes", none).alias("scope_codes"), text("annotator").alias("annotator"), text("confidence").alias("confidence"))
+
+
+def migrate(events: DataFrame, lines: DataFrame, messages: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(new messages, new annotations, counters) of legacy records (source_key, ...) and annotation lines. `messages` and `stored`
+    are what is there; annotations of unknown messages are skipped and counted."""
+    fresh = first_per_key(new_rows(events, messages, ["source_key"]), "source_key", "id")
+    kept, unknown = record(legacy_annotations(lines), messages.unionByName(fresh.select(*messages.columns)), stored)
+    return fresh, kept, {"imported_messages": fresh.count(), "imported_annotations": kept.count(), "skipped_annotations": unknown.count()}
+
+
 def clamped(limit: int, offset: int) -> tuple[int, int]:
     """A page of 1 to 500 rows that begins at 0 or later."""
     return max(1, min(limit, 500)), max(0, offset)

@@ -54,6 +54,19 @@ def train_lr(spark, root):
     return _quality(spark, root, "lr")
 
 
+def train_ablation(spark, root):
+    """Test metrics at 0.5 of the regression with and without structured features, balanced and not."""
+    rows = _featured(spark, root)
+    out = None
+    for structured in (False, True):
+        for weighted in (True, False):
+            scored = X.score(X.fit(rows.where("split = 'train'"), "lr", weighted=weighted, with_structured=structured), rows.where("split = 'test'")).select("label", "score")
+            name = f"{'tfidf_structured' if structured else 'tfidf'}/{'balanced' if weighted else 'unweighted'}"
+            one = checkpoint(E.binary_metrics(scored, F.col("score") >= 0.5).withColumn("variant", F.lit(name)))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def train_gbt(spark, root):
     return _quality(spark, root, "gbt")
 
@@ -70,7 +83,7 @@ def svd_features(spark, root):
 
 
 def queries():
-    return {f.__name__: f for f in (structured_features, word_ngrams, char_ngrams, tfidf_word_weights, train_lr, train_gbt, score_messages, svd_features)}
+    return {f.__name__: f for f in (structured_features, word_ngrams, char_ngrams, tfidf_word_weights, train_lr, train_ablation, train_gbt, score_messages, svd_features)}
 
 
 _ESC = "regexp_replace({k}, '([!-/:-@\\[-`{{-~])', '\\\\\\1', 'g')"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import os
@@ -114,6 +115,34 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Scored pairs as JSONL with the columns of a prediction file."""
+    write_jsonl(df.select(*(f.name for f in T.StructType.fromDDL(PREDICTION))), path, "overwrite")
+
+
+def header_fields(values: list[str], defaults: dict[str, str | None] | None = None) -> dict[str, str]:
+    """Connector headers from `NAME=VALUE` texts; non-empty `defaults` (such as secrets of the environment) win."""
+    out = {}
+    for v in values:
+        name, mark, value = v.partition("=")
+        if not mark or not name.strip():
+            raise ValueError(f"a header is NAME=VALUE, not {v!r}")
+        out[name.strip()] = value.strip()
+    return out | {k: v for k, v in (defaults or {}).items() if v}
+
+
+def filled_url(url: str, token: str | None) -> str:
+    """The address with its `{token}` filled in; an error where it has one and no token is given."""
+    if "{token}" in url and not token:
+        raise ValueError("the address needs a token")
+    return url.replace("{token}", token or "")
+
+
+def utc_now(clock=None) -> str:
+    """ISO time in UTC; `clock` stands in for the system's in tests."""
+    return (clock or (lambda: datetime.datetime.now(datetime.timezone.utc)))().isoformat()
+
+
 def digest(path: str) -> str:
     """SHA-256 of a file, read in blocks."""
     h = hashlib.sha256()
