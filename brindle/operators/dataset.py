@@ -13,6 +13,7 @@ from brindle.operators.components import connected_components
 from brindle.session import bounded, checkpoint
 
 WORD, MAX_DF, MIN_SHARED, MIN_RATIO, RATIO_CHARACTERS = 3, 15, 3, 0.75, 300
+HOT_WORD, BROADCAST_WORDS = 10_000, 500_000
 
 
 def pair_labels(correct: DataFrame, local: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def top_up(labelled: DataFrame, codes: DataFrame, least: int = 3) -> DataFrame:
 def rare_word_pairs(texts: DataFrame, key: str, form: str) -> DataFrame:
     """(a, b, shared): pairs that share at least MIN_SHARED words of WORD or more characters which at most MAX_DF texts have."""
     each = texts.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.filter(F.split(form, " "), lambda w: F.length(w) >= WORD))).alias("word"))
-    rare = each.groupBy("word").agg(F.count("*").alias("df")).where(f"df between 2 and {MAX_DF}").select("word")
-    kept = each.join(rare, "word")
+    df = checkpoint(each.groupBy("word").agg(F.count("*").alias("df")).where("df > 1"))
+    hot = df.where(f"df > {HOT_WORD}").select("word")  # none of these is rare; they are left out before anything is shuffled by word
+    kept = each.join(bounded(hot, BROADCAST_WORDS), "word", "left_anti").join(bounded(df.where(f"df <= {MAX_DF}").select("word"), BROADCAST_WORDS), "word")
     return kept.alias("x").join(kept.alias("y"), "word").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared")).where(f"shared >= {MIN_SHARED}")
 
 
@@ -52,11 +54,15 @@ def ratio_edges(pairs: DataFrame, texts: DataFrame, key: str, form: str, codes:
     """Pairs with compatible codes (both none, or one in common) whose sequence ratio is at least MIN_RATIO."""
     t = texts.select(F.col(key).alias("id"), F.substring(form, 1, RATIO_CHARACTERS).alias("f"), F.col(codes).alias("c"))
     met = pairs.join(t.toDF("a", "fa", "ca"), "a").join(t.toDF("b", "fb", "cb"), "b")
+    short, both = F.least(F.length("fa"), F.length("fb")), F.length("fa") + F.length("fb")
+    met = met.where(2 * short >= MIN_RATIO * both)  # the ratio is 2 * matches / both, and matches are at most the shorter text
     met = met.where(((F.size("ca") == 0) & (F.size("cb") == 0)) | F.arrays_overlap("ca", "cb"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = [difflib.SequenceMatcher(None, x, y).ratio() >= MIN_RATIO for x, y in zip(f["fa"], f["fb"])]
+            # the characters in common bound the ratio; only what they allow is aligned
+            matchers = [difflib.SequenceMatcher(None, x, y) for x, y in zip(f["fa"], f["fb"])]
+            keep = [m.quick_ratio() >= MIN_RATIO and m.ratio() >= MIN_RATIO for m in matchers]
             yield f.loc[keep, ["a", "b"]]
 
     return met.select("a", "b", "fa", "fb").mapInPandas(run, "a long, b long")

@@ -11,8 +11,8 @@ from pyspark.ml.common import _py2java
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import Vectors as Old
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.functions.text import contains_keyword, latin_pattern, without_urls
@@ -93,9 +93,9 @@ def balanced(pairs: DataFrame) -> DataFrame:
 def _svd(pairs: DataFrame, vocabulary: int, k: int) -> tuple[list, list[float]]:
     """Fitted stages that give `svd`, the word and character TF-IDF on its leading components without centring, and the singular values."""
     stages = [*_vectors(pairs, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v"], outputCol="grams_v")]
-    rows = PipelineModel(stages).transform(pairs).select("grams_v").rdd.map(lambda r: Old.fromML(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = MLUtils.convertVectorColumnsFromML(PipelineModel(stages).transform(pairs).select("grams_v"), "grams_v").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        m = RowMatrix(rows)
+        m = RowMatrix(rows)  # vectors stay in the JVM
         svd = m.computeSVD(max(1, min(k, int(m.numCols()) - 1, int(m.numRows()) - 1)))
     finally:
         rows.unpersist()
