@@ -22,6 +22,16 @@ def raw_stream(spark: SparkSession, path: str, schema: str = RAW, files_per_batc
     return reader.parquet(path)
 
 
+def frame_stream(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
+    """Frames as they come from a connector, one a line of text files or one a binary file, as raw events. Bytes are UTF-8 text,
+    with what isn't replaced; the id of a frame is a hash of it; blank lines are no frames."""
+    reader = spark.readStream
+    value = F.decode("content", "UTF-8") if binary else F.col("value")
+    frames = reader.format("binaryFile").load(path) if binary else reader.text(path)
+    told = frames.select(value.alias("raw_event_json")).where("trim(raw_event_json) <> ''")
+    return told.select(F.xxhash64("raw_event_json").alias("id"), "raw_event_json", F.lit(None).cast("string").alias("received_at"))
+
+
 def stream_records(raw: DataFrame) -> DataFrame:
     """Normalised records of a stream or a table of raw events; control frames and invalid JSON give none."""
     return I.records(I.parsed(I.envelope_events(raw)))
@@ -32,15 +42,19 @@ def once_within(records: DataFrame, delay: str = "1 hour") -> DataFrame:
     return records.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["source_key"])
 
 
-def run_ingest(raw: DataFrame, store: str, checkpoint: str, side: dict[str, Callable[[DataFrame], DataFrame]] | None = None, errors: list | None = None) -> StreamingQuery:
+def run_ingest(raw: DataFrame, store: str, checkpoint: str, side: dict[str, Callable[[DataFrame], DataFrame]] | None = None, errors: list | None = None, backup: str | None = None) -> StreamingQuery:
     """Store new records at `store`/messages, each side output at `store`/<name>; a failing side output never stops the store.
 
+    With `backup`, every batch's records also go there as JSONL, before they are stored, one folder a batch.
+
     Restarted with the same checkpoint, it goes on where it was; a batch that is run again stores nothing twice.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, n: int) -> None:
         rows = df.persist()
         try:
+            if backup:
+                rows.write.mode("overwrite").json(f"{backup}/batch={n}")
             save_once(rows, f"{store}/messages", "source_key", "message_id", "place")
             for name, of in (side or {}).items():
                 try:
