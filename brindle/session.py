@@ -46,6 +46,27 @@ def checkpoint(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def checkpoint_by(df: DataFrame, key: str) -> DataFrame:
+    """As `checkpoint`, bucketed by `key` into as many buckets as shuffles have partitions: later joins on it don't shuffle the table.
+
+    `df` best comes from `by_key`, so that a task writes one bucket.
+    """
+    spark = df.sparkSession
+    name = f"by_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/table-{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _kept[path] = spark
+    out = spark.table(name)
+    out._checkpoint = path
+    return out
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """`df` shuffled by `key` into as many partitions as shuffles have; a join on it goes on from there."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _delete(path: str | None) -> None:
     spark = _kept.pop(path, None)
     if spark is not None:
