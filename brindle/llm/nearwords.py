@@ -16,7 +16,7 @@ is an element of its own, so a text is a set of elements and the shared words ar
 4. The rest are verified by exact intersection of sorted element arrays.
 
 Elements are 32-bit hashes in the exact step (chance of one false shared word in a pair of 70 words: 1e-6). The minhash
-stage finds a pair of similarity s = shared / union with 1 - (1 - s ** ROWS) ** BANDS, which is 0.91 at the least similarity
+stage finds a pair of similarity s = shared / union with 1 - (1 - s ** ROWS) ** BANDS, which is 0.92 at the least similarity
 that SHARE allows (two texts of equal length, s = 0.7 / 1.3) and more for all others; README has its measured recall.
 
 Cases: null, empty and wordless texts are no case; repeated ids count once (the least text); empty tables give no rows.
@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm import codepoints as C
-from brindle.session import bounded, checkpoint, widened
+from brindle.session import bounded, by_key, checkpoint, checkpoint_by, widened
 
-SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 5, 52, 17, 1500, 1 << 16, 200_000
+SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 5, 56, 17, 1500, 1 << 16, 200_000
 _SIZE_BITS, _CLAMP = 14, (1 << 14) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -325,8 +325,8 @@ def classes(texts: DataFrame, *flags: str, carry: tuple[str, ...] = ()) -> tuple
     light = texts.select("id", "f1", "f2", *flags, *carry)
     heads = light.groupBy("f1", "f2").agg(F.min("id").alias("rep"), *(F.max(f).alias(f) for f in flags))
     members = light.join(heads.drop(*flags), ["f1", "f2"]).select("id", "rep", *flags, *carry)
-    reps = texts.select("id", "elements").join(heads.select(F.col("rep").alias("id"), *flags), "id")
-    return reps, members
+    reps = by_key(texts.select("id", "elements"), "id").join(heads.select(F.col("rep").alias("id"), *flags), "id")
+    return checkpoint_by(reps, "id"), members  # by id, as the pairs to be verified meet its elements by id, twice
 
 
 def near_links(reps: DataFrame, sided: bool = False, exact: bool = False) -> DataFrame:
@@ -346,7 +346,6 @@ def near_duplicates(df: DataFrame, key: str, column: str, exact: bool = False) -
     `near_duplicate_groups` says the same with one row a text: the pairs of a class of n equal texts are n * (n - 1) / 2 rows.
     """
     reps, members = classes(prepare(df, key, column))
-    reps = checkpoint(reps)
     a = members.select(F.col("id").alias("m1"), F.col("rep").alias("a"))
     b = members.select(F.col("id").alias("m2"), F.col("rep").alias("b"))
     across = near_links(reps, exact=exact).join(a, "a").join(b, "b").select("m1", "m2")
@@ -359,7 +358,6 @@ def near_duplicate_groups(df: DataFrame, key: str, column: str, exact: bool = Fa
     from brindle.operators.components import connected_components
 
     reps, members = classes(prepare(df, key, column))
-    reps = checkpoint(reps)
     links = checkpoint(near_links(reps, exact=exact))
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("links"))
     groups = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("group"))

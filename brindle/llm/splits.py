@@ -24,7 +24,6 @@ def split_overlaps(rows: DataFrame, key: str = "message_id", text: str = "messag
     one = flat.groupBy("id", "text").agg(F.max("side0").alias("side0"), F.max("side1").alias("side1"))
     texts = one.select(F.xxhash64("id", "text").alias("text_id"), F.col("id").alias("message"), "text", "side0", "side1")
     reps, members = classes(checkpoint(text_elements(texts, "text_id", "text", "message", "side0", "side1")), "side0", "side1", carry=("message",))
-    reps = checkpoint(reps)
     as_ = lambda i, rep: members.select(F.col("message").alias(f"m{i}"), F.col("rep").alias(rep), F.col("side0").alias(f"train{i}"), F.col("side1").alias(f"held{i}"))
     across = near_links(reps, sided=True).join(as_(1, "a"), "a").join(as_(2, "b"), "b").where("(train1 and held2 or held1 and train2) and m1 <> m2").select("m1", "m2")
     within = as_(1, "a").where("train1").join(as_(2, "b").where("held2"), F.col("a") == F.col("b")).where("m1 <> m2").select("m1", "m2")
