@@ -26,8 +26,8 @@ def frame_stream(spark: SparkSession, path: str, binary: bool = False) -> DataFr
     """Frames as they come from a connector, one a line of text files or one a binary file, as raw events. Bytes are UTF-8 text,
     with what isn't replaced; the id of a frame is a hash of it; blank lines are no frames."""
     reader = spark.readStream
-    value = F.decode("content", "UTF-8") if binary else F.col("value")
-    frames = reader.format("binaryFile").load(path) if binary else reader.text(path)
+    value = F.make_valid_utf8(F.col("content").cast("string")) if binary else F.col("value")
+    frames = reader.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path) if binary else reader.text(path)
     told = frames.select(value.alias("raw_event_json")).where("trim(raw_event_json) <> ''")
     return told.select(F.xxhash64("raw_event_json").alias("id"), "raw_event_json", F.lit(None).cast("string").alias("received_at"))
 
