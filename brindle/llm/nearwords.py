@@ -5,19 +5,20 @@ is an element of its own, so a text is a set of elements and the shared words ar
 
 1. Texts of equal elements are one class (an order-free 128-bit fingerprint); a third of all rows being copies of one text
    costs one representative.
-2. Representatives are put into tiles. A tile is a minhash band of elements (ROWS minima of BANDS groups) within which texts
-   are kept sorted by size, so that only the band of sizes that can reach SHARE is swept; texts of up to SHORT words also
-   meet by all elements of an exact prefix. With `exact`, tiles are the elements of exact prefixes for texts of every size,
-   rarest elements first, and no band is used: every pair is found, at a cost that grows with the square of the most frequent
-   prefix elements. Keys with more than BLOCK rows are split into blocks of about BLOCK, and each pair of blocks is a tile of
-   its own: no key has to fit one task, and no partner is capped.
-3. In a tile, hashed bitmaps bound the shared words from above by the bits in which they differ; pairs that can't reach SHARE
-   end there, in array arithmetic.
+2. Representatives are put into tiles, within which texts are kept sorted by size, so that only the band of sizes that can
+   reach SHARE is swept. With `exact`, tiles are the elements of exact prefixes, rarest elements first: two texts that share
+   SHARE share one of them, so every pair is found. Without it (the pairs across splits of `llm.splits`), a tile is a minhash
+   band of elements (ROWS minima of BANDS groups); texts of up to SHORT words also meet by an exact prefix. Keys with more
+   than BLOCK rows are split into blocks of about BLOCK, and each pair of blocks is a tile of its own: no key has to fit one
+   task, and no partner is capped. Few keys are so long, so few rows are repeated.
+3. In a tile, hashed bitmaps (112 bits, 240 with `exact`) bound the shared words from above by the bits in which they differ;
+   pairs that can't reach SHARE end there, in array arithmetic over contiguous blocks of rows.
 4. The rest are verified by exact intersection of sorted element arrays.
 
-Elements are 32-bit hashes in the exact step (chance of one false shared word in a pair of 70 words: 1e-6). The minhash
-stage finds a pair of similarity s = shared / union with 1 - (1 - s ** ROWS) ** BANDS, which is 0.92 at the least similarity
-that SHARE allows (two texts of equal length, s = 0.7 / 1.3) and more for all others; README has its measured recall.
+Exact tiles cost no disk beyond their prefixes (0.3 of a text's words), but time that grows with the square of the most frequent
+prefix elements; README has the figures. Elements are 32-bit hashes in the exact step (chance of one false shared word in a
+pair of 70 words: 1e-6). Minhash finds a pair of similarity s = shared / union with 1 - (1 - s ** ROWS) ** BANDS, which is 0.92
+at the least similarity that SHARE allows (two texts of equal length, s = 0.7 / 1.3) and more for all others.
 
 Cases: null, empty and wordless texts are no case; repeated ids count once (the least text); empty tables give no rows.
 """
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 from brindle.llm import codepoints as C
 from brindle.session import bounded, by_key, checkpoint, checkpoint_by, widened
 
-SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 5, 56, 17, 1500, 1 << 16, 200_000
+SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 5, 56, 17, 200_000, 1 << 16, 200_000
+DENSE, TASK_ROWS = 32, 2_000_000  # rows of a key from which it is swept by blocks; rows of tiles for a task
 _SIZE_BITS, _CLAMP = 14, (1 << 14) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,14 +159,14 @@ def band_keys(elements: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return out
 
 
-def bitmaps(elements: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """112-bit bitmaps of element sets as 64 and 48 bits."""
+def bitmaps(elements: np.ndarray, row: np.ndarray, n: int, bits: int = 112) -> list[np.ndarray]:
+    """Bitmaps of element sets of 112 or 240 bits, as words of 64, 48 and, with 240, 64 and 64 bits."""
     bit = (elements * np.uint32(0x85EBCA6B)) >> np.uint32(8)
-    bit = bit.astype(np.int64) % 112
-    grid = np.zeros((n, 128), np.uint8)
-    grid[row, bit] = 1
+    bit = bit.astype(np.int64) % bits
+    grid = np.zeros((n, 128 if bits == 112 else 256), np.uint8)
+    grid[row, np.where(bit < 112, bit, bit + 16)] = 1
     packed = np.packbits(grid, axis=1, bitorder="little").view(np.uint64)
-    return packed[:, 0].copy(), packed[:, 1].copy()
+    return [packed[:, i].copy() for i in range(packed.shape[1])]
 
 
 def element_counts(texts: DataFrame) -> np.ndarray:
@@ -185,7 +187,8 @@ def element_counts(texts: DataFrame) -> np.ndarray:
 
 def _tile_rows(texts: DataFrame, sided: bool, rarity: np.ndarray | None = None) -> DataFrame:
     """(key, id, b1, b2) of every text and band; b2 holds 48 bits of the bitmap, 14 of the size, and the side. With `rarity`,
-    of every text and element of its exact prefix."""
+    (key, id, b1, b2, b3, b4) of every text and element of its exact prefix."""
+    names = ["b1", "b2"] if rarity is None else ["b1", "b2", "b3", "b4"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -197,8 +200,8 @@ def _tile_rows(texts: DataFrame, sided: bool, rarity: np.ndarray | None = None)
                 heads, counts = (offsets[:-1] - offsets[0]).astype(np.int64), np.diff(offsets)
                 n, ids = b.num_rows, np.asarray(b.column("id"))
                 row = np.repeat(np.arange(n), counts)
-                b1, b2 = bitmaps(e, row, n)
-                b2 |= np.minimum(counts, _CLAMP).astype(np.uint64) << np.uint64(48)
+                maps = bitmaps(e, row, n, 112 if rarity is None else 240)
+                maps[1] |= np.minimum(counts, _CLAMP).astype(np.uint64) << np.uint64(48)
                 keys, who = ([band_keys(e, heads).T.ravel()], [np.tile(np.arange(n), BANDS)]) if rarity is None else ([], [])
                 if rarity is not None:
                     e = e[np.lexsort((e, rarity[e & np.uint32(0xFFFF)], row))]
@@ -215,33 +218,61 @@ def _tile_rows(texts: DataFrame, sided: bool, rarity: np.ndarray | None = None)
                     key, at = key[pick], at[pick]
                 else:
                     side = np.zeros(len(at), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(b1[at].view(np.int64)), pa.array((b2[at] | side << np.uint64(63)).view(np.int64))], names=["key", "id", "b1", "b2"])
+                maps = [m[at] for m in maps]
+                maps[1] |= side << np.uint64(63)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), *(pa.array(m.view(np.int64)) for m in maps)], names=["key", "id", *names])
 
-    return texts.mapInArrow(run, "key long, id long, b1 long, b2 long")
+    return texts.mapInArrow(run, "key long, id long" + "".join(f", {n} long" for n in names))
 
 
-def _sweep(key: np.ndarray, ids: np.ndarray, b1: np.ndarray, b2: np.ndarray, sided: bool) -> tuple[np.ndarray, np.ndarray]:
+def _sweep(key: np.ndarray, ids: np.ndarray, maps: list[np.ndarray], sided: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one key whose sizes and bitmaps allow SHARE. Keys come sorted; rows are swept in the order of their sizes."""
-    size = ((b2 >> np.uint64(48)) & np.uint64(_CLAMP)).astype(np.int64)
+    size = ((maps[1] >> np.uint64(48)) & np.uint64(_CLAMP)).astype(np.int64)
     order = np.lexsort((size, key))
-    key, ids, b1, b2, size = key[order], ids[order], b1[order], b2[order], size[order]
-    low, flags = b2 & np.uint64((1 << 48) - 1), b2 >> np.uint64(62)
-    left, right = [], []
-    at, d = np.arange(len(key)), 1
-    while len(at := at[at + d < len(key)]):
-        to = at + d
-        at = at[(key[at] == key[to]) & (size[at] >= SHARE * size[to] - 1e-9)]  # both fail for good once they fail
-        to = at + d
-        differ = np.bitwise_count(b1[at] ^ b1[to]).astype(np.int64) + np.bitwise_count(low[at] ^ low[to])
-        bound = size[at] + size[to] - differ >= 2 * SHARE * size[to] - 1e-9
-        ok = (bound | (size[to] == _CLAMP)) & (ids[at] != ids[to])
+    key, ids, size, maps = key[order], ids[order], size[order], [m[order] for m in maps]
+    flags = maps[1] >> np.uint64(62)
+    maps[1] = maps[1] & np.uint64((1 << 48) - 1)
+    spare = size - 2 * np.ceil(SHARE * size - 1e-9).astype(np.int64)  # with the other's size: in how many elements two may differ
+    left, right = [ids[:0]], [ids[:0]]
+
+    def keep(at: np.ndarray, to: np.ndarray, differ: np.ndarray) -> None:
+        ok = ((differ <= spare[to] + size[at]) | (size[to] == _CLAMP)) & (ids[at] != ids[to])
         crossed = flags[at] & np.uint64(1)  # a tile of two blocks, or of two sides: only pairs across
         apart = (flags[at] ^ flags[to]) >> np.uint64(1) > 0
         ok &= apart if sided else (apart | (crossed == 0))
         left.append(ids[at[ok]])
         right.append(ids[to[ok]])
+
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    lengths = np.diff(np.concatenate([starts, [len(key)]]))
+    at, d = np.flatnonzero(np.repeat(lengths < DENSE, lengths)), 1
+    while len(at := at[at + d < len(key)]):  # keys of few rows, all at once
+        to = at + d
+        at = at[(key[at] == key[to]) & (size[at] >= SHARE * size[to] - 1e-9)]  # both fail for good once they fail
+        to = at + d
+        keep(at, to, sum(np.bitwise_count(m[at] ^ m[to]).astype(np.int64) for m in maps))
         d += 1
-    return np.concatenate(left or [ids[:0]]), np.concatenate(right or [ids[:0]])
+    high, wide = 64, 2048
+    xor, one, all_ = np.empty((high, wide), np.uint64), np.empty((high, wide), np.uint8), np.empty((high, wide), np.uint8)
+    for start, length in zip(starts[lengths >= DENSE], lengths[lengths >= DENSE]):  # others, by blocks of rows
+        for i in range(start, end := start + length, high):
+            j = min(i + high, end)
+            first = start + int(np.searchsorted(size[start:end], SHARE * size[i] - 1e-9))
+            for k in range(first, j, wide):
+                m = min(k + wide, j)
+                x, c, differ = xor[: j - i, : m - k], one[: j - i, : m - k], all_[: j - i, : m - k]
+                for n, bits in enumerate(maps):
+                    np.bitwise_xor(bits[i:j, None], bits[None, k:m], out=x)
+                    np.bitwise_count(x, out=c if n else differ)
+                    if n:
+                        np.add(differ, c, out=differ)  # 240 bits at most
+                most = np.clip(spare[i:j].max() + size[k:m], 0, 255) if size[j - 1] < _CLAMP else np.full(m - k, 255)
+                to, at = np.nonzero(differ <= most.astype(np.uint8))
+                some = differ[to, at].astype(np.int64)
+                to, at = to + i, at + k
+                ok = (at < to) & (size[at] >= SHARE * size[to] - 1e-9)
+                keep(at[ok], to[ok], some[ok])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def candidate_pairs(texts: DataFrame, sided: bool = False, exact: bool = False) -> DataFrame:
@@ -249,7 +280,8 @@ def candidate_pairs(texts: DataFrame, sided: bool = False, exact: bool = False)
     tiles = _tile_rows(texts, sided, element_counts(texts) if exact else None)
     bucket = F.pmod("key", F.lit(BUCKETS)).cast("int")
     counts = tiles.select(bucket.alias("bucket")).groupBy("bucket").count().collect()  # at most BUCKETS rows
-    mean = sum(r["count"] for r in counts) / BUCKETS
+    total = sum(r["count"] for r in counts)
+    mean = total / BUCKETS
     hot = [(r["bucket"],) for r in counts if r["count"] > mean + 8 * mean**0.5 + BLOCK]
     if hot:  # only in these can a key have more than BLOCK rows; keys are counted there, and only hot ones are split
         few = F.broadcast(texts.sparkSession.createDataFrame(hot, "bucket int"))
@@ -261,7 +293,8 @@ def candidate_pairs(texts: DataFrame, sided: bool = False, exact: bool = False)
     salt = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
     side = F.shiftrightunsigned("b2", 63)
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other")
-    rows = rows.select("key", "id", "b1", "b2", salt.alias("salt"), side.alias("side"), other)
+    wide = ["b3", "b4"] if exact else []
+    rows = rows.select("key", "id", "b1", "b2", *wide, salt.alias("salt"), side.alias("side"), other)
     if sided:
         x, y, flag = F.when(F.col("side") == 0, F.col("salt")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("salt")), F.col("b2")
     else:
@@ -270,11 +303,11 @@ def candidate_pairs(texts: DataFrame, sided: bool = False, exact: bool = False)
         crossed = F.when(F.col("salt") != F.col("other"), F.lit(1 << 62)).otherwise(F.lit(0))
         flag = F.col("b2").bitwiseOR(upper).bitwiseOR(crossed)
     tile = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", x, y))
-    rows = rows.select(tile.alias("key"), "id", "b1", F.when(F.col("other") < 0, F.col("b2")).otherwise(flag).alias("b2"))
+    rows = rows.select(tile.alias("key"), "id", "b1", F.when(F.col("other") < 0, F.col("b2")).otherwise(flag).alias("b2"), *wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _sweep(parts[0], parts[1], parts[2].view(np.uint64), parts[3].view(np.uint64), sided)
+            a, b = _sweep(parts[0], parts[1], [p.view(np.uint64) for p in parts[2:]], sided)
             packed = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(packed[:, 0]), pa.array(packed[:, 1])], names=["a", "b"])
 
@@ -292,7 +325,7 @@ def candidate_pairs(texts: DataFrame, sided: bool = False, exact: bool = False)
         if held:
             yield pairs([np.concatenate(x) for x in zip(*held)])
 
-    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))  # so that no sort spills
     return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -340,7 +373,7 @@ def prepare(df: DataFrame, key: str, column: str) -> DataFrame:
     return checkpoint(text_elements(df, key, column))
 
 
-def near_duplicates(df: DataFrame, key: str, column: str, exact: bool = False) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, column: str, exact: bool = True) -> DataFrame:
     """Each pair (id_1 < id_2) of rows whose texts are near-duplicates, exact copies included.
 
     `near_duplicate_groups` says the same with one row a text: the pairs of a class of n equal texts are n * (n - 1) / 2 rows.
@@ -353,7 +386,7 @@ def near_duplicates(df: DataFrame, key: str, column: str, exact: bool = False) -
     return across.union(within).select(F.least("m1", "m2").alias("id_1"), F.greatest("m1", "m2").alias("id_2"))
 
 
-def near_duplicate_groups(df: DataFrame, key: str, column: str, exact: bool = False) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, column: str, exact: bool = True) -> DataFrame:
     """One row (id, group, links) for every text: the least id it is connected to, and the links of its class to other classes."""
     from brindle.operators.components import connected_components
 

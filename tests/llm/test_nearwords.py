@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from brindle.llm import nearwords as N
@@ -109,6 +110,32 @@ def test_recall_at_the_least_similarity(spark):
     assert got <= {(2 * k, 2 * k + 1) for k in range(300)} and len(got) >= 0.88 * 300  # 0.91 expected
 
 
+def test_no_pair_at_the_least_similarity_is_left_out(spark):
+    df = spark.createDataFrame(boundary(1), "id long, text string")
+    got = [tuple(r) for r in N.near_duplicates(df, "id", "text").collect()]
+    assert sorted(got) == [(2 * k, 2 * k + 1) for k in range(300)]
+    assert N.near_duplicate_groups(df, "id", "text").where("links = 1").count() == 600
+
+
+@pytest.mark.parametrize("sided", [False, True])
+@pytest.mark.parametrize("dense", [2, 10**9])
+def test_sweep_equals_all_pairs(monkeypatch, sided, dense):
+    """By blocks of rows and by distance, the sweep keeps every pair of a key that reaches SHARE, and none twice."""
+    monkeypatch.setattr(N, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    sets = [set(rng.choice(200, rng.integers(1, 130), replace=False).tolist()) for _ in range(150)]
+    sets += [set(list(s)[: max(1, int(len(s) * 0.85))]) for s in sets]
+    n, keys, sides = len(sets), rng.integers(0, 3, len(sets)), rng.integers(0, 2, len(sets))
+    e = np.concatenate([N.mix(np.array(sorted(s), np.uint64)) for s in sets]).astype(np.uint32)
+    maps = N.bitmaps(e, np.repeat(np.arange(n), [len(s) for s in sets]), n, 240)
+    maps[1] |= np.array([len(s) for s in sets], np.uint64) << np.uint64(48) | sides.astype(np.uint64) * np.uint64(sided) << np.uint64(63)
+    order = np.argsort(keys, kind="stable")
+    a, b = N._sweep(keys[order], np.arange(n)[order], [m[order] for m in maps], sided)
+    got = [(min(p), max(p)) for p in zip(a.tolist(), b.tolist())]
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if keys[i] == keys[j] and (not sided or sides[i] != sides[j]) and len(sets[i] & sets[j]) >= math.ceil(0.7 * max(len(sets[i]), len(sets[j])) - 1e-9)}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 20
+
+
 @pytest.mark.parametrize("block", [N.BLOCK, 8])
 def test_exact_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
