@@ -11,8 +11,9 @@ is an element of its own, so a text is a set of elements and the shared words ar
    band of elements (ROWS minima of BANDS groups); texts of up to SHORT words also meet by an exact prefix. Keys with more
    than BLOCK rows are split into blocks of about BLOCK, and each pair of blocks is a tile of its own: no key has to fit one
    task, and no partner is capped. Few keys are so long, so few rows are repeated.
-3. In a tile, hashed bitmaps (112 bits, 240 with `exact`) bound the shared words from above by the bits in which they differ;
-   pairs that can't reach SHARE end there, in array arithmetic over contiguous blocks of rows.
+3. In a tile, hashed bitmaps (112 bits, 496 with `exact`) of odd and even counts bound the shared words from above by the bits in
+   which they differ, folded to fewer bits for short texts, and the prefix position bounds the size of the other text; pairs
+   that can't reach SHARE end there, in array arithmetic over blocks of rows.
 4. The rest are verified by exact intersection of sorted element arrays.
 
 Exact tiles cost no disk beyond their prefixes (0.3 of a text's words), but time that grows with the square of the most frequent
@@ -35,8 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 from brindle.llm import codepoints as C
 from brindle.session import bounded, by_key, checkpoint, checkpoint_by, widened
 
-SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 5, 56, 17, 200_000, 1 << 16, 200_000
-DENSE, TASK_ROWS = 32, 2_000_000  # rows of a key from which it is swept by blocks; rows of tiles for a task
+SHARE, ROWS, BANDS, SHORT, BLOCK, BUCKETS, HOT_KEYS = 0.7, 5, 56, 17, 500_000, 1 << 16, 200_000
+WIDE = ("b3", "b4", "b5", "b6", "b7", "b8", "reach")
+DENSE, TASK_ROWS = 32, 1_500_000  # rows of a key from which it is swept by blocks; rows of tiles for a task
 _SIZE_BITS, _CLAMP = 14, (1 << 14) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,11 +162,12 @@ def band_keys(elements: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(elements: np.ndarray, row: np.ndarray, n: int, bits: int = 112) -> list[np.ndarray]:
-    """Bitmaps of element sets of 112 or 240 bits, as words of 64, 48 and, with 240, 64 and 64 bits."""
+    """Bitmaps of element sets of 112 or 496 bits, as words of 64 bits of which the second has 48: whether the number of elements
+    at a bit is odd. An element in which two sets differ changes one bit, also where words are folded by xor."""
     bit = (elements * np.uint32(0x85EBCA6B)) >> np.uint32(8)
     bit = bit.astype(np.int64) % bits
-    grid = np.zeros((n, 128 if bits == 112 else 256), np.uint8)
-    grid[row, np.where(bit < 112, bit, bit + 16)] = 1
+    width = 128 if bits == 112 else 512
+    grid = (np.bincount(row * width + np.where(bit < 112, bit, bit + 16), minlength=n * width) & 1).astype(np.uint8).reshape(n, width)
     packed = np.packbits(grid, axis=1, bitorder="little").view(np.uint64)
     return [packed[:, i].copy() for i in range(packed.shape[1])]
 
@@ -187,8 +190,9 @@ def element_counts(texts: DataFrame) -> np.ndarray:
 
 def _tile_rows(texts: DataFrame, sided: bool, rarity: np.ndarray | None = None) -> DataFrame:
     """(key, id, b1, b2) of every text and band; b2 holds 48 bits of the bitmap, 14 of the size, and the side. With `rarity`,
-    (key, id, b1, b2, b3, b4) of every text and element of its exact prefix."""
-    names = ["b1", "b2"] if rarity is None else ["b1", "b2", "b3", "b4"]
+    of every text and element of its exact prefix, with WIDE: six more words, and the most words of a longer text that can share
+    enough from this element on."""
+    names = ["b1", "b2", *(() if rarity is None else WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -200,7 +204,7 @@ def _tile_rows(texts: DataFrame, sided: bool, rarity: np.ndarray | None = None)
                 heads, counts = (offsets[:-1] - offsets[0]).astype(np.int64), np.diff(offsets)
                 n, ids = b.num_rows, np.asarray(b.column("id"))
                 row = np.repeat(np.arange(n), counts)
-                maps = bitmaps(e, row, n, 112 if rarity is None else 240)
+                maps = bitmaps(e, row, n, 112 if rarity is None else 496)
                 maps[1] |= np.minimum(counts, _CLAMP).astype(np.uint64) << np.uint64(48)
                 keys, who = ([band_keys(e, heads).T.ravel()], [np.tile(np.arange(n), BANDS)]) if rarity is None else ([], [])
                 if rarity is not None:
@@ -219,6 +223,8 @@ def _tile_rows(texts: DataFrame, sided: bool, rarity: np.ndarray | None = None)
                 else:
                     side = np.zeros(len(at), np.uint64)
                 maps = [m[at] for m in maps]
+                if rarity is not None:
+                    maps.append((((counts[row] - within)[prefix] + 1e-6) / SHARE).astype(np.uint64))
                 maps[1] |= side << np.uint64(63)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), *(pa.array(m.view(np.int64)) for m in maps)], names=["key", "id", *names])
 
@@ -230,16 +236,20 @@ def _sweep(key: np.ndarray, ids: np.ndarray, maps: list[np.ndarray], sided: bool
     size = ((maps[1] >> np.uint64(48)) & np.uint64(_CLAMP)).astype(np.int64)
     order = np.lexsort((size, key))
     key, ids, size, maps = key[order], ids[order], size[order], [m[order] for m in maps]
+    reach = maps.pop().astype(np.int64) if len(maps) % 2 else None
     flags = maps[1] >> np.uint64(62)
     maps[1] = maps[1] & np.uint64((1 << 48) - 1)
     spare = size - 2 * np.ceil(SHARE * size - 1e-9).astype(np.int64)  # with the other's size: in how many elements two may differ
     left, right = [ids[:0]], [ids[:0]]
 
-    def keep(at: np.ndarray, to: np.ndarray, differ: np.ndarray) -> None:
+    def keep(at: np.ndarray, to: np.ndarray) -> None:
+        differ = sum(np.bitwise_count(m[at] ^ m[to]).astype(np.int64) for m in maps)
         ok = ((differ <= spare[to] + size[at]) | (size[to] == _CLAMP)) & (ids[at] != ids[to])
         crossed = flags[at] & np.uint64(1)  # a tile of two blocks, or of two sides: only pairs across
         apart = (flags[at] ^ flags[to]) >> np.uint64(1) > 0
         ok &= apart if sided else (apart | (crossed == 0))
+        if reach is not None:
+            ok &= reach[at] >= size[to]
         left.append(ids[at[ok]])
         right.append(ids[to[ok]])
 
@@ -249,29 +259,33 @@ def _sweep(key: np.ndarray, ids: np.ndarray, maps: list[np.ndarray], sided: bool
     while len(at := at[at + d < len(key)]):  # keys of few rows, all at once
         to = at + d
         at = at[(key[at] == key[to]) & (size[at] >= SHARE * size[to] - 1e-9)]  # both fail for good once they fail
-        to = at + d
-        keep(at, to, sum(np.bitwise_count(m[at] ^ m[to]).astype(np.int64) for m in maps))
+        keep(at, at + d)
         d += 1
-    high, wide = 64, 2048
+    folded = {len(maps): np.stack(maps)} if len(key) else {}
+    while (n := min(folded, default=0)) > 2:
+        folded[n // 2] = folded[n][: n // 2] ^ folded[n][n // 2 :]
+    high, wide = 64, 1024
     xor, one, all_ = np.empty((high, wide), np.uint64), np.empty((high, wide), np.uint8), np.empty((high, wide), np.uint8)
     for start, length in zip(starts[lengths >= DENSE], lengths[lengths >= DENSE]):  # others, by blocks of rows
         for i in range(start, end := start + length, high):
             j = min(i + high, end)
             first = start + int(np.searchsorted(size[start:end], SHARE * size[i] - 1e-9))
-            for k in range(first, j, wide):
-                m = min(k + wide, j)
+            near = np.arange(first, j) if reach is None else first + np.flatnonzero(reach[first:j] >= size[i])
+            words = folded[next((n for n, most in ((2, 60), (4, 110)) if n in folded and size[j - 1] <= most), len(maps))]
+            xs, ys, most = words[:, i:j, None], words[:, None, near], spare[i:j].max() + size[near]
+            most = np.clip(most, 0, 255).astype(np.uint8) if size[j - 1] < _CLAMP else np.full(len(near), 255, np.uint8)
+            for k in range(0, len(near), wide):
+                m = min(k + wide, len(near))
                 x, c, differ = xor[: j - i, : m - k], one[: j - i, : m - k], all_[: j - i, : m - k]
-                for n, bits in enumerate(maps):
-                    np.bitwise_xor(bits[i:j, None], bits[None, k:m], out=x)
+                for n in range(len(words)):
+                    np.bitwise_xor(xs[n], ys[n, :, k:m], out=x)
                     np.bitwise_count(x, out=c if n else differ)
                     if n:
-                        np.add(differ, c, out=differ)  # 240 bits at most
-                most = np.clip(spare[i:j].max() + size[k:m], 0, 255) if size[j - 1] < _CLAMP else np.full(m - k, 255)
-                to, at = np.nonzero(differ <= most.astype(np.uint8))
-                some = differ[to, at].astype(np.int64)
-                to, at = to + i, at + k
+                        np.add(differ, np.minimum(c, 255 - differ, out=c) if n > 2 else c, out=differ)  # up to 255
+                hits = np.flatnonzero(differ <= most[k:m])
+                to, at = i + hits // (m - k), near[k + hits % (m - k)]
                 ok = (at < to) & (size[at] >= SHARE * size[to] - 1e-9)
-                keep(at[ok], to[ok], some[ok])
+                keep(at[ok], to[ok])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -293,7 +307,7 @@ def candidate_pairs(texts: DataFrame, sided: bool = False, exact: bool = False)
     salt = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
     side = F.shiftrightunsigned("b2", 63)
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other")
-    wide = ["b3", "b4"] if exact else []
+    wide = WIDE if exact else ()
     rows = rows.select("key", "id", "b1", "b2", *wide, salt.alias("salt"), side.alias("side"), other)
     if sided:
         x, y, flag = F.when(F.col("side") == 0, F.col("salt")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("salt")), F.col("b2")

@@ -119,7 +119,8 @@ def test_no_pair_at_the_least_similarity_is_left_out(spark):
 
 @pytest.mark.parametrize("sided", [False, True])
 @pytest.mark.parametrize("dense", [2, 10**9])
-def test_sweep_equals_all_pairs(monkeypatch, sided, dense):
+@pytest.mark.parametrize("bits", [112, 496])
+def test_sweep_equals_all_pairs(monkeypatch, sided, dense, bits):
     """By blocks of rows and by distance, the sweep keeps every pair of a key that reaches SHARE, and none twice."""
     monkeypatch.setattr(N, "DENSE", dense)
     rng = np.random.default_rng(4)
@@ -127,8 +128,9 @@ def test_sweep_equals_all_pairs(monkeypatch, sided, dense):
     sets += [set(list(s)[: max(1, int(len(s) * 0.85))]) for s in sets]
     n, keys, sides = len(sets), rng.integers(0, 3, len(sets)), rng.integers(0, 2, len(sets))
     e = np.concatenate([N.mix(np.array(sorted(s), np.uint64)) for s in sets]).astype(np.uint32)
-    maps = N.bitmaps(e, np.repeat(np.arange(n), [len(s) for s in sets]), n, 240)
+    maps = N.bitmaps(e, np.repeat(np.arange(n), [len(s) for s in sets]), n, bits)
     maps[1] |= np.array([len(s) for s in sets], np.uint64) << np.uint64(48) | sides.astype(np.uint64) * np.uint64(sided) << np.uint64(63)
+    maps += [np.full(n, 1000, np.uint64)] * (bits > 112)
     order = np.argsort(keys, kind="stable")
     a, b = N._sweep(keys[order], np.arange(n)[order], [m[order] for m in maps], sided)
     got = [(min(p), max(p)) for p in zip(a.tolist(), b.tolist())]
@@ -136,6 +138,16 @@ def test_sweep_equals_all_pairs(monkeypatch, sided, dense):
     assert len(got) == len(set(got)) and want <= set(got) and len(want) > 20
 
 
+def test_bitmaps_leave_few_pairs_of_long_texts():
+    """Random texts of 150 words, of which a third is in common, don't pass."""
+    rng = np.random.default_rng(5)
+    sets = [np.concatenate([np.arange(50), rng.choice(10**6, 100, replace=False) + 50]).astype(np.uint64) for _ in range(200)]
+    maps = N.bitmaps(N.mix(np.concatenate(sets)).astype(np.uint32), np.repeat(np.arange(200), 150), 200, 496)
+    maps[1] |= np.uint64(150 << 48)
+    a, _ = N._sweep(np.zeros(200, np.int64), np.arange(200), [*maps, np.full(200, 150, np.uint64)], False)
+    assert len(a) < 20
+
+
 @pytest.mark.parametrize("block", [N.BLOCK, 8])
 def test_exact_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
