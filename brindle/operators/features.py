@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, PCAModel, VectorAssembler
@@ -16,6 +16,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.functions.text import contains_keyword, latin_pattern, without_urls
+from brindle.session import checkpoint, checkpoint_dir
 
 # Words that show a business context; names of the structured features.
 CONTEXT = ("stock", "share", "shares", "company", "earnings", "revenue", "CEO", "IPO", "股票", "公司", "财报", "营收", "股价", "收购", "上市", "季度")
@@ -73,13 +74,22 @@ def with_grams(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("words", word_grams(text)).withColumn("characters", char_grams(text))
 
 
-def _vectors(pairs: DataFrame, vocabulary: int) -> list:
-    """Fitted stages that give words_v and characters_v: tf times smooth idf ln((1 + n) / (1 + df)) + 1, each of length 1."""
+def counted(pairs: DataFrame, vocabulary: int = 20_000) -> PipelineModel:
+    """Fitted stages that give words_tf and characters_tf, the counts of the most frequent grams."""
+    return PipelineModel([CountVectorizer(inputCol=c, outputCol=f"{c}_tf", minDF=2, vocabSize=vocabulary).fit(pairs) for c in ("words", "characters")])
+
+
+def with_counts(pairs: DataFrame, counts: PipelineModel) -> DataFrame:
+    """`pairs` with their counts instead of their grams, kept as a table: many times smaller than the grams, which are made once for it."""
+    return checkpoint(counts.transform(pairs).drop("words", "characters"))
+
+
+def _vectors(rows: DataFrame) -> list:
+    """Fitted stages that give words_v and characters_v of rows with counts: tf times smooth idf ln((1 + n) / (1 + df)) + 1, each of length 1."""
     stages = []
     for c in ("words", "characters"):
-        tf = CountVectorizer(inputCol=c, outputCol=f"{c}_tf", minDF=2, vocabSize=vocabulary).fit(pairs)
-        idf = IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf").fit(tf.transform(pairs)).idf.toArray() + 1  # Spark's IDF goes without the 1
-        stages += [tf, ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"{c}_tf", outputCol=f"{c}_idf"), Normalizer(inputCol=f"{c}_idf", outputCol=f"{c}_v")]
+        idf = IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf").fit(rows).idf.toArray() + 1  # Spark's IDF goes without the 1
+        stages += [ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"{c}_tf", outputCol=f"{c}_idf"), Normalizer(inputCol=f"{c}_idf", outputCol=f"{c}_v")]
     return stages
 
 
@@ -90,31 +100,43 @@ def balanced(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("weight", F.when(F.col("label") == 1, n["n"] / (2 * max(p, 1))).otherwise(n["n"] / (2 * max(n["n"] - p, 1))).cast("double"))
 
 
-def _svd(pairs: DataFrame, vocabulary: int, k: int) -> tuple[list, list[float]]:
-    """Fitted stages that give `svd`, the word and character TF-IDF on its leading components without centring, and the singular values."""
-    stages = [*_vectors(pairs, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v"], outputCol="grams_v")]
-    rows = MLUtils.convertVectorColumnsFromML(PipelineModel(stages).transform(pairs).select("grams_v"), "grams_v").persist(StorageLevel.MEMORY_AND_DISK)
+def _svd(rows: DataFrame, k: int) -> tuple[list, list[float]]:
+    """Fitted stages that give `svd`, the word and character TF-IDF of rows with counts on its leading components without centring,
+    and the singular values."""
+    stages = [*_vectors(rows), VectorAssembler(inputCols=["words_v", "characters_v"], outputCol="grams_v")]
+    kept = MLUtils.convertVectorColumnsFromML(PipelineModel(stages).transform(rows).select("grams_v"), "grams_v").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        m = RowMatrix(rows)  # vectors stay in the JVM
+        m = RowMatrix(kept)  # vectors stay in the JVM
         svd = m.computeSVD(max(1, min(k, int(m.numCols()) - 1, int(m.numRows()) - 1)))
     finally:
-        rows.unpersist()
-    sc = pairs.sparkSession.sparkContext
+        kept.unpersist()
+    sc = rows.sparkSession.sparkContext
     values = [float(x) for x in svd.s]
-    projection = sc._jvm.org.apache.spark.ml.feature.PCAModel(f"svd_{uuid.uuid4().hex[:12]}", _py2java(sc, svd.V.asML()), _py2java(sc, Vectors.dense(values)))  # its transform is a product with V; only PCA's fit would centre
+    projection = sc._jvm.org.apache.spark.ml.feature.PCAModel(f"svd_{uuid.uuid4().hex[:12]}", svd._java_model.V().asML(), _py2java(sc, Vectors.dense(values)))  # V doesn't go through Python either; transform is a product with V; only PCA's fit would centre
     projection.set(projection.k().w(len(values)))
     return [*stages, PCAModel(projection).setInputCol("grams_v").setOutputCol("svd")], values
 
 
 def fit(pairs: DataFrame, kind: str = "lr", vocabulary: int = 20_000, trees: int = 300, components: int = 100, weighted: bool = True, with_structured: bool = True) -> PipelineModel:
     """TF-IDF and structured features under a logistic regression ("lr", balanced unless `weighted` is off), or boosted trees of up
-    to 32 leaves on the SVD of the TF-IDF and the structured features ("gbt")."""
-    rows = balanced(pairs) if weighted else pairs.withColumn("weight", F.lit(1.0))
+    to 32 leaves on the SVD of the TF-IDF and the structured features ("gbt"). `pairs` have grams, or counts if already made;
+    so do the rows that the model scores."""
+    counts = None if "words_tf" in pairs.columns else counted(pairs, vocabulary)
+    rows = pairs if counts is None else with_counts(pairs.select("label", "words", "characters", *STRUCTURED), counts)
+    rows = balanced(rows) if weighted else rows.withColumn("weight", F.lit(1.0))
     if kind == "gbt":
-        stages = [*_svd(rows, vocabulary, components)[0], VectorAssembler(inputCols=["svd", *STRUCTURED], outputCol="features"), GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.05, seed=7)]
+        stages = [*_svd(rows, components)[0], VectorAssembler(inputCols=["svd", *STRUCTURED], outputCol="features")]
+        trainer = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.05, seed=7)
     else:
-        stages = [*_vectors(rows, vocabulary), VectorAssembler(inputCols=["words_v", "characters_v", *(STRUCTURED if with_structured else ())], outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)]
-    return Pipeline(stages=stages).fit(rows)
+        stages = [*_vectors(rows), VectorAssembler(inputCols=["words_v", "characters_v", *(STRUCTURED if with_structured else ())], outputCol="features")]
+        trainer = LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)
+    features = PipelineModel(stages).transform(rows).select("label", "weight", "features")
+    if kind == "gbt":  # some 2,000 jobs read it: without a table, each would be sent the SVD's components and vocabularies
+        sc = rows.sparkSession.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(checkpoint_dir(rows.sparkSession))  # cuts the growing lineage of the errors every ten trees
+        features = checkpoint(features)
+    return PipelineModel([*(counts.stages if counts else ()), *stages, trainer.fit(features)])
 
 
 def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
@@ -123,4 +145,4 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
 
 def singular_values(pairs: DataFrame, k: int = 100, vocabulary: int = 20_000) -> list[float]:
     """Leading singular values of the word and character TF-IDF matrix, without centring."""
-    return _svd(pairs, vocabulary, k)[1]
+    return _svd(with_counts(pairs.select("words", "characters"), counted(pairs, vocabulary)), k)[1]

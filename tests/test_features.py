@@ -48,3 +48,17 @@ def test_models_separate_what_can_be_separated(spark):
         s = X.score(X.fit(full, kind, 200), full).select("label", "score").collect()
         assert min(r["score"] for r in s if r["label"]) > max(r["score"] for r in s if not r["label"])
     assert len(X.singular_values(full, 3, 100)) == 3
+
+
+def _made(spark, n=60):
+    rows = [(i, i % 2, f"{'$NVDA earnings of Nvidia' if i % 2 else 'the custard was fine'} {i % 7}", "news", 1, "NVDA", ["NVIDIA"], [], ["custard"], "英伟达") for i in range(n)]
+    df = spark.createDataFrame(rows, "message_id long, label int, message_text string, source_type string, real_count int, ticker string, aliases array<string>, brands array<string>, negative_contexts array<string>, profile string")
+    return X.with_grams(X.structured(df))
+
+
+def test_trees_are_grown_on_a_table(spark, monkeypatch):
+    """What is sent with each of the many jobs of boosting has no SVD and no vocabulary in it."""
+    plans, fit = [], X.GBTClassifier.fit
+    monkeypatch.setattr(X.GBTClassifier, "fit", lambda self, df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or fit(self, df))
+    X.fit(_made(spark), "gbt", 200, trees=2)
+    assert plans[0][0] == ["label", "weight", "features"] and plans[0][1].startswith("Relation") and "UDF" not in plans[0][1]
