@@ -40,7 +40,8 @@ def tfidf_word_weights(spark, root):
 
 
 def _featured(spark, root):
-    return checkpoint(X.with_grams(X.structured(_pairs(spark, root))))
+    """Rows with their grams, which are made where they are read: a table of them would be many times the texts."""
+    return X.with_grams(checkpoint(X.structured(_pairs(spark, root))))
 
 
 def _quality(spark, root, kind):

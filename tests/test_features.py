@@ -62,3 +62,13 @@ def test_trees_are_grown_on_a_table(spark, monkeypatch):
     monkeypatch.setattr(X.GBTClassifier, "fit", lambda self, df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or fit(self, df))
     X.fit(_made(spark), "gbt", 200, trees=2)
     assert plans[0][0] == ["label", "weight", "features"] and plans[0][1].startswith("Relation") and "UDF" not in plans[0][1]
+
+
+def test_counts_once_give_the_same_scores(spark):
+    """A model of rows whose counts were made before scores them like a model of their grams, and no grams are kept in a table."""
+    full = _made(spark)
+    rows = X.with_counts(full, X.counted(full, 200))
+    assert "words" not in rows.columns and "characters" not in rows.columns
+    got = {r["message_id"]: r["score"] for r in X.score(X.fit(rows), rows).collect()}
+    want = {r["message_id"]: r["score"] for r in X.score(X.fit(full, vocabulary=200), full).collect()}
+    assert len(got) == 60 and all(abs(got[i] - want[i]) < 1e-6 for i in want)
