@@ -104,13 +104,19 @@ def _svd(rows: DataFrame, k: int) -> tuple[list, list[float]]:
     """Fitted stages that give `svd`, the word and character TF-IDF of rows with counts on its leading components without centring,
     and the singular values."""
     stages = [*_vectors(rows), VectorAssembler(inputCols=["words_v", "characters_v"], outputCol="grams_v")]
-    kept = MLUtils.convertVectorColumnsFromML(PipelineModel(stages).transform(rows).select("grams_v"), "grams_v").persist(StorageLevel.MEMORY_AND_DISK)
+    spark, batch = rows.sparkSession, "spark.sql.inMemoryColumnarStorage.batchSize"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "256")  # a row has about 10 KB: batches of the default 10,000 rows would take 100 MB each
+    try:
+        kept = MLUtils.convertVectorColumnsFromML(PipelineModel(stages).transform(rows).select("grams_v"), "grams_v").persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        spark.conf.set(batch, before)
     try:
         m = RowMatrix(kept)  # vectors stay in the JVM
         svd = m.computeSVD(max(1, min(k, int(m.numCols()) - 1, int(m.numRows()) - 1)))
     finally:
         kept.unpersist()
-    sc = rows.sparkSession.sparkContext
+    sc = spark.sparkContext
     values = [float(x) for x in svd.s]
     projection = sc._jvm.org.apache.spark.ml.feature.PCAModel(f"svd_{uuid.uuid4().hex[:12]}", svd._java_model.V().asML(), _py2java(sc, Vectors.dense(values)))  # V doesn't go through Python either; transform is a product with V; only PCA's fit would centre
     projection.set(projection.k().w(len(values)))

@@ -72,3 +72,18 @@ def test_counts_once_give_the_same_scores(spark):
     got = {r["message_id"]: r["score"] for r in X.score(X.fit(rows), rows).collect()}
     want = {r["message_id"]: r["score"] for r in X.score(X.fit(full, vocabulary=200), full).collect()}
     assert len(got) == 60 and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_singular_values_from_small_cached_batches(spark):
+    import numpy as np
+
+    full = _made(spark)
+    stages = X.counted(full, 20_000)  # all grams: which of equally frequent ones a smaller vocabulary has is open
+    rows = X.with_counts(full, stages)
+    from pyspark.ml import PipelineModel
+
+    v = PipelineModel(X._vectors(rows)).transform(rows).select("words_v", "characters_v").collect()
+    dense = np.array([np.concatenate([r[0].toArray(), r[1].toArray()]) for r in v])
+    before = spark.conf.get("spark.sql.inMemoryColumnarStorage.batchSize")
+    assert np.allclose(X.singular_values(full, 5), np.linalg.svd(dense, compute_uv=False)[:5], atol=1e-6)
+    assert spark.conf.get("spark.sql.inMemoryColumnarStorage.batchSize") == before
