@@ -58,6 +58,7 @@ def train_lr(spark, root):
 def train_ablation(spark, root):
     """Test metrics at 0.5 of the regression with and without structured features, balanced and not."""
     rows = _featured(spark, root)
+    rows = X.with_counts(rows, X.counted(rows.where("split = 'train'")))  # once for all variants
     out = None
     for structured in (False, True):
         for weighted in (True, False):
