@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.common import _py2java
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, PCAModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer, PCAModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brindle.functions.text import contains_keyword, latin_pattern, without_urls
-from brindle.session import checkpoint, checkpoint_dir
+from brindle.operators.boosting import GBTClassifier
+from brindle.operators.decompose import characters_of, components as components_of, vocabularies, words_of
+from brindle.session import checkpoint
 
 # Words that show a business context; names of the structured features.
 CONTEXT = ("stock", "share", "shares", "company", "earnings", "revenue", "CEO", "IPO", "股票", "公司", "财报", "营收", "股价", "收购", "上市", "季度")
@@ -69,14 +71,25 @@ def gram_weights(docs: DataFrame, grams: Column, min_df: int = 2) -> DataFrame:
     return w.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def _text() -> Column:
+    return F.concat_ws(" \n[CANDIDATE]\n ", F.col("message_text"), F.col("profile"))
+
+
+def _grams(of) -> Callable[[Column], Column]:
+    def each(texts: pa.Array) -> pa.Array:
+        return pa.array([of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(each, "array<string>")
+
+
 def with_grams(pairs: DataFrame) -> DataFrame:
-    text = F.concat_ws(" \n[CANDIDATE]\n ", F.col("message_text"), F.col("profile"))
-    return pairs.withColumn("words", word_grams(text)).withColumn("characters", char_grams(text))
+    """Adds `words` and `characters`, the grams of word_grams and char_grams, which Python workers make many times faster."""
+    return pairs.withColumn("words", _grams(words_of)(_text())).withColumn("characters", _grams(characters_of)(_text()))
 
 
 def counted(pairs: DataFrame, vocabulary: int = 20_000) -> PipelineModel:
-    """Fitted stages that give words_tf and characters_tf, the counts of the most frequent grams."""
-    return PipelineModel([CountVectorizer(inputCol=c, outputCol=f"{c}_tf", minDF=2, vocabSize=vocabulary).fit(pairs) for c in ("words", "characters")])
+    """Stages that give words_tf and characters_tf, the counts of the most frequent grams."""
+    return PipelineModel(_vectors(pairs, vocabulary)[::3])
 
 
 def with_counts(pairs: DataFrame, counts: PipelineModel) -> DataFrame:
@@ -84,12 +97,20 @@ def with_counts(pairs: DataFrame, counts: PipelineModel) -> DataFrame:
     return checkpoint(counts.transform(pairs).drop("words", "characters"))
 
 
-def _vectors(rows: DataFrame) -> list:
-    """Fitted stages that give words_v and characters_v of rows with counts: tf times smooth idf ln((1 + n) / (1 + df)) + 1, each of length 1."""
+def _weighted(block: str, idf: np.ndarray) -> list:
+    return [ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"{block}_tf", outputCol=f"{block}_idf"), Normalizer(inputCol=f"{block}_idf", outputCol=f"{block}_v")]
+
+
+def _vectors(rows: DataFrame, vocabulary: int | None = None) -> list:
+    """Stages that give words_v and characters_v: tf times smooth idf ln((1 + n) / (1 + df)) + 1, each of length 1. `rows` have counts
+    or, with the size of a vocabulary, texts; then the stages begin with the counts of the block."""
+    blocks = ("words", "characters")
+    if vocabulary is None:
+        return [s for c in blocks for s in _weighted(c, IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf").fit(rows).idf.toArray() + 1)]  # Spark's IDF goes without the 1
+    found, n = vocabularies(rows.select(_text()), vocabulary)
     stages = []
-    for c in ("words", "characters"):
-        idf = IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf").fit(rows).idf.toArray() + 1  # Spark's IDF goes without the 1
-        stages += [ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"{c}_tf", outputCol=f"{c}_idf"), Normalizer(inputCol=f"{c}_idf", outputCol=f"{c}_v")]
+    for c, (grams, df) in zip(blocks, found):
+        stages += [CountVectorizerModel.from_vocabulary(grams, inputCol=c, outputCol=f"{c}_tf"), *_weighted(c, np.log((1 + n) / (1 + np.array(df))) + 1)]
     return stages
 
 
@@ -100,47 +121,45 @@ def balanced(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("weight", F.when(F.col("label") == 1, n["n"] / (2 * max(p, 1))).otherwise(n["n"] / (2 * max(n["n"] - p, 1))).cast("double"))
 
 
-def _svd(rows: DataFrame, k: int) -> tuple[list, list[float]]:
-    """Fitted stages that give `svd`, the word and character TF-IDF of rows with counts on its leading components without centring,
-    and the singular values."""
-    stages = [*_vectors(rows), VectorAssembler(inputCols=["words_v", "characters_v"], outputCol="grams_v")]
-    spark, batch = rows.sparkSession, "spark.sql.inMemoryColumnarStorage.batchSize"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, "256")  # a row has about 10 KB: batches of the default 10,000 rows would take 100 MB each
-    try:
-        kept = MLUtils.convertVectorColumnsFromML(PipelineModel(stages).transform(rows).select("grams_v"), "grams_v").persist(StorageLevel.MEMORY_AND_DISK)
-    finally:
-        spark.conf.set(batch, before)
-    try:
-        m = RowMatrix(kept)  # vectors stay in the JVM
-        svd = m.computeSVD(max(1, min(k, int(m.numCols()) - 1, int(m.numRows()) - 1)))
-    finally:
-        kept.unpersist()
-    sc = spark.sparkContext
-    values = [float(x) for x in svd.s]
-    projection = sc._jvm.org.apache.spark.ml.feature.PCAModel(f"svd_{uuid.uuid4().hex[:12]}", svd._java_model.V().asML(), _py2java(sc, Vectors.dense(values)))  # V doesn't go through Python either; transform is a product with V; only PCA's fit would centre
-    projection.set(projection.k().w(len(values)))
-    return [*stages, PCAModel(projection).setInputCol("grams_v").setOutputCol("svd")], values
+def _svd(rows: DataFrame, k: int, vocabulary: int) -> tuple[list, DataFrame]:
+    """Stages that give `grams_v`, the word and character TF-IDF of rows with texts, and its leading components without centring.
+    No table of grams, counts or vectors is kept."""
+    stages = _vectors(rows, vocabulary)
+    found = components_of(rows.select(_text()), [stages[i].vocabulary for i in (0, 3)], [stages[i].getScalingVec().toArray() for i in (1, 4)], k)
+    return [*stages, VectorAssembler(inputCols=["words_v", "characters_v"], outputCol="grams_v")], found
+
+
+def _projection(found: DataFrame) -> PCAModel:
+    """A stage that gives `svd`, the product of `grams_v` with the components' vectors, which stay in the JVM; only PCA's fit would centre."""
+    sc = found.sparkSession.sparkContext
+    rows = sorted(found.select("component", "value", array_to_vector("vector"))._jdf.collectAsList(), key=lambda r: r.getInt(0))
+    k, m = len(rows), rows[0].get(2).size()
+    array = sc._gateway.new_array(sc._jvm.double, m * k)
+    for i, r in enumerate(rows):
+        sc._jvm.System.arraycopy(r.get(2).values(), 0, array, i * m, m)
+    ml = sc._jvm.org.apache.spark.ml
+    made = ml.feature.PCAModel(f"svd_{uuid.uuid4().hex[:12]}", ml.linalg.DenseMatrix(m, k, array), _py2java(sc, Vectors.dense([r.getDouble(1) for r in rows])))
+    made.set(made.k().w(k))
+    return PCAModel(made).setInputCol("grams_v").setOutputCol("svd")
 
 
 def fit(pairs: DataFrame, kind: str = "lr", vocabulary: int = 20_000, trees: int = 300, components: int = 100, weighted: bool = True, with_structured: bool = True) -> PipelineModel:
     """TF-IDF and structured features under a logistic regression ("lr", balanced unless `weighted` is off), or boosted trees of up
-    to 32 leaves on the SVD of the TF-IDF and the structured features ("gbt"). `pairs` have grams, or counts if already made;
-    so do the rows that the model scores."""
-    counts = None if "words_tf" in pairs.columns else counted(pairs, vocabulary)
-    rows = pairs if counts is None else with_counts(pairs.select("label", "words", "characters", *STRUCTURED), counts)
-    rows = balanced(rows) if weighted else rows.withColumn("weight", F.lit(1.0))
+    to 32 leaves on the SVD of the TF-IDF and the structured features ("gbt"). `pairs` have texts and grams, or for "lr" counts if
+    already made; so do the rows that the model scores."""
     if kind == "gbt":
-        stages = [*_svd(rows, components)[0], VectorAssembler(inputCols=["svd", *STRUCTURED], outputCol="features")]
-        trainer = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.05, seed=7)
+        stages, found = _svd(pairs, components, vocabulary)
+        stages += [_projection(found), VectorAssembler(inputCols=["svd", *STRUCTURED], outputCol="features")]
+        counts, rows = None, pairs
+        trainer = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=5, stepSize=0.05)
     else:
+        counts = None if "words_tf" in pairs.columns else counted(pairs, vocabulary)
+        rows = pairs if counts is None else with_counts(pairs.select("label", "words", "characters", *STRUCTURED), counts)
         stages = [*_vectors(rows), VectorAssembler(inputCols=["words_v", "characters_v", *(STRUCTURED if with_structured else ())], outputCol="features")]
         trainer = LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-3, maxIter=60)
+    rows = balanced(rows) if weighted else rows.withColumn("weight", F.lit(1.0))
     features = PipelineModel(stages).transform(rows).select("label", "weight", "features")
-    if kind == "gbt":  # some 2,000 jobs read it: without a table, each would be sent the SVD's components and vocabularies
-        sc = rows.sparkSession.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(checkpoint_dir(rows.sparkSession))  # cuts the growing lineage of the errors every ten trees
+    if kind == "gbt":  # a failed task of the trees' stage reads it again, without the SVD's components and vocabularies
         features = checkpoint(features)
     return PipelineModel([*(counts.stages if counts else ()), *stages, trainer.fit(features)])
 
@@ -151,4 +170,4 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
 
 def singular_values(pairs: DataFrame, k: int = 100, vocabulary: int = 20_000) -> list[float]:
     """Leading singular values of the word and character TF-IDF matrix, without centring."""
-    return _svd(with_counts(pairs.select("words", "characters"), counted(pairs, vocabulary)), k)[1]
+    return [r["value"] for r in sorted(_svd(pairs, k, vocabulary)[1].select("component", "value").collect())]

@@ -41,7 +41,8 @@ def tfidf_word_weights(spark, root):
 
 def _featured(spark, root):
     """Rows with their grams, which are made where they are read: a table of them would be many times the texts."""
-    return X.with_grams(checkpoint(X.structured(_pairs(spark, root))))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # else few rows are one task's
+    return X.with_grams(checkpoint(X.structured(_pairs(spark, root).repartition(parts))))
 
 
 def _quality(spark, root, kind):
