@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from brindle.operators import decompose as D
+from brindle.operators import decompose as D, features as X
 
 
 def _texts(n, seed=11):
@@ -29,6 +29,13 @@ def test_grams_of_a_text():
     assert D.characters_of("a") == [] and D.words_of("A b, 中文") == ["a", "b", "中", "文", "a b", "b 中", "中 文"]
 
 
+def test_grams_of_spark_and_of_python_are_equal(spark):
+    texts = ["", "a", "ab\nc 😀x中文", "Ein Äpfel\r\n😀😀 $NVDA 3.5%", None]
+    df = X.with_grams(spark.createDataFrame([(t, p) for t in texts for p in ("英伟达 | NVDA 😀", None)], "message_text string, profile string"))
+    for r in df.select(X._text().alias("text"), "words", "characters").collect():
+        assert Counter(r["characters"]) == Counter(D.characters_of(r["text"])) and Counter(r["words"]) == Counter(D.words_of(r["text"]))
+
+
 def test_vocabulary_has_the_most_frequent_grams_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "HELD", 50)  # a task passes its counts on many times
     texts = _texts(300)
